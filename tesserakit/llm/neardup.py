@@ -279,8 +279,9 @@ def _ranges(rows: DataFrame) -> int:
     return 1 << min(16, max(4, math.ceil(math.log2(max(1, size) / 8e6))))
 
 
-def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
-    """kind, id_a, id_b and similarity of every pair of different texts of one kind at or above ``threshold``.
+def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """kind, id_a, id_b and similarity of every pair of different texts of one kind at or above ``threshold``; and the
+    ``first_half`` of the ids of long enough texts that several keys have.
 
     ``rows`` has kind, key, text and id, as of ``texts_with_ids``; kinds are compared only within themselves.
     """
@@ -289,8 +290,6 @@ def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold:
     blocks = packed.groupBy("range").applyInPandas(_count, PACKED).groupBy("block")
     prefixes = blocks.applyInPandas(_prefixes(threshold), PREFIX)
     a, b = (prefixes.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "pos"))) for s in "ab")
-    # a is the shorter text, of which a shorter prefix is enough
-    a = a.filter(F.col("pos_a") <= F.col("n_a") - F.ceil(F.col("n_a") * (2 * threshold / (1 + threshold)) - 1e-9))
     most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     pairs = (
         a.join(b, "token")
@@ -301,19 +300,23 @@ def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold:
         .distinct()
     )
     outlines = blocks.applyInPandas(_outlines, OUTLINE)
+    copied = rows.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select(first_half("id").alias("doc"))
+    copied = copied.join(outlines.select("doc"), "doc").select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"))
     for s in "ab":
         pairs = pairs.join(outlines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "outline"))), f"doc_{s}")
-    pairs = cut_lineage(pairs.mapInPandas(_suffixes(threshold), "doc_a long, doc_b long"))
+    both = cut_lineage(pairs.mapInPandas(_suffixes(threshold), "doc_a long, doc_b long").unionByName(copied))
+    pairs, copied = both.filter("doc_a < doc_b or doc_a > doc_b"), both.filter("doc_a = doc_b").select(F.col("doc_a").alias("doc"))
     keyed = rows.select("kind", "id", "text", first_half("id").alias("doc"))
     wanted = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
     texts = keyed.join(wanted, "doc", "left_semi").groupBy("doc", "id").agg(F.first("kind").alias("kind"), F.first("text").alias("text"))
     for s in "ab":
         pairs = pairs.join(texts.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc", "id", "kind", "text"))), f"doc_{s}")
-    return (
+    verified = (
         pairs.filter("kind_a = kind_b")
         .select(F.col("kind_a").alias("kind"), "id_a", "id_b", "text_a", "text_b")
         .mapInPandas(_verify(salts, length, least_words, threshold), "kind string, id_a binary, id_b binary, similarity double")
     )
+    return verified, copied
 
 
 def first_half(ident: str) -> F.Column:
@@ -321,16 +324,6 @@ def first_half(ident: str) -> F.Column:
     return F.conv(F.substring(F.hex(ident), 1, 16), 16, -10).cast("long")
 
 
-def long_enough(rows: DataFrame, least_words: int) -> DataFrame:
-    """Rows whose text has at least ``least_words`` words."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.loc[[len(words(x)) >= least_words for x in part["text"]], ["kind", "key", "id"]]
-
-    return rows.select("kind", "key", "id", "text").mapInPandas(run, "kind string, key string, id binary")
-
-
 def near_duplicates(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
     """All pairs of records with similar texts: kind, key_a, key_b.
 
@@ -340,20 +333,14 @@ def near_duplicates(rows: DataFrame, kinds: list[str], length: int = 5, threshol
     once; ties at the threshold are in; extra columns play no part; a table without rows gives none.
     """
     rows = texts_with_ids(rows).filter(F.col("kind").isin(kinds))
-    pairs = similar_texts(rows, kinds, length, threshold, least_words)
-    short = max(least_words, length)
-    copied = rows.select("kind", "key", "id", "text").join(
-        rows.groupBy("kind", "id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("kind", "id"), ["kind", "id"], "left_semi"
-    )
+    pairs, copied = similar_texts(rows, kinds, length, threshold, least_words)
     members = rows.select("kind", "key", "id").distinct()
-    a, b = (members.select("kind", F.col("key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
-    across = pairs.select("kind", "id_a", "id_b").join(a, ["kind", "id_a"]).join(b, ["kind", "id_b"])
-    own = long_enough(copied, short).distinct()
-    copies = own.select("kind", "id", F.col("key").alias("key_a")).join(own.select("kind", "id", F.col("key").alias("key_b")), ["kind", "id"])
-    both = across.select("kind", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).unionByName(
-        copies.filter("key_a < key_b").select("kind", "key_a", "key_b")
-    )
-    return both.filter("key_a < key_b").distinct()
+    a, b = (members.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
+    across = pairs.select("kind", "id_a", "id_b").join(a, "id_a").join(b, "id_b").select("kind", "key_a", "key_b")
+    own = members.withColumn("doc", first_half("id")).join(copied, "doc", "left_semi")
+    # the result itself has every pair of copies, so these rows are no more than it has
+    copies = own.select("kind", "id", F.col("key").alias("key_a")).join(own.select("id", F.col("key").alias("key_b")), "id").filter("key_a < key_b")
+    return across.select("kind", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).unionByName(copies.drop("id"))
 
 
 def classes_and_links(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> DataFrame:
@@ -364,7 +351,7 @@ def classes_and_links(rows: DataFrame, kinds: list[str], length: int = 5, thresh
     """
     keyed = rows.select("kind", "key", "text").filter("kind is not null and key is not null").filter(F.col("kind").isin(kinds))
     known = texts_with_ids(keyed)
-    pairs = similar_texts(known, kinds, length, threshold, least_words)
+    pairs, _ = similar_texts(known, kinds, length, threshold, least_words)
     links = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("kind", "id").agg(F.count("*").alias("links"))
     firsts = known.groupBy("kind", "id").agg(F.min("key").alias("class_key"))
     ids = keyed.select("kind", "key", F.when(F.length("text") > 0, F.unhex(F.md5("text"))).alias("id")).distinct()
