@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Files the layout model is trained on, at most.
+#: Files the layout model is trained on, about; twice as many at most.
 SAMPLE = 400
 ROUNDS = 0
 #: Least relative frequency of a word in the vocabulary.
@@ -561,10 +561,12 @@ def vocabulary_of(clean: DataFrame, lexicon: DataFrame | None = None, least: int
 
 
 def trained(scans: DataFrame) -> Layout:
-    """A layout model from SAMPLE of the files, those of least hash."""
-    rows = scans.select("text", "title", F.xxhash64("source_path").alias("h")).filter(F.length("text").between(1, 200_000))
-    got = rows.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
-    return train([(r["text"], r["title"]) for r in got])
+    """A layout model from about SAMPLE of the files, drawn by a hash of their paths (all of them if there are no more)."""
+    rows = scans.select("text", "title", F.xxhash64("source_path").alias("h")).filter(F.length("text").between(1, 200_000)).dropDuplicates(["h"])
+    n = rows.count()
+    if n > SAMPLE:
+        rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * SAMPLE / n))
+    return train([(r["text"], r["title"]) for r in sorted(rows.limit(2 * SAMPLE).collect(), key=lambda r: r["h"])])
 
 
 def _damage(model: Layout, vocabulary: Vocabulary):
