@@ -1 +1 @@
-
+"""Files into parsed documents."""
