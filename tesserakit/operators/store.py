@@ -1,6 +1,6 @@
 """A chunk store in versioned Parquet folders, its manifest, and what keeps the two in step.
 
-A version is a whole folder; ``_current.json`` names the one to read and is replaced last, so a reader sees the store before
+A version is a whole folder; ``current.json`` names the one to read and is replaced last, so a reader sees the store before
 or after a write, never between, and a job that dies leaves the old version. Every change is a plan over the old version:
 anti join and union, so the work is a join on the key and no row is looked at in the driver.
 """
@@ -123,10 +123,10 @@ class VersionedTable:
 
     def version(self) -> str | None:
         fs, path = self._fs()
-        pointer = path(f"{self.path}/_current.json")
+        pointer = path(f"{self.path}/current.json")
         if not fs.exists(pointer):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/_current.json").collect()))["version"]
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))["version"]
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -137,7 +137,7 @@ class VersionedTable:
         old, new = self.version(), f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{new}")
         fs, path = self._fs()
-        draft, pointer = path(f"{self.path}/_next-{new}.json"), path(f"{self.path}/_current.json")
+        draft, pointer = path(f"{self.path}/next-{new}.json"), path(f"{self.path}/current.json")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": new}).encode()))
         out.close()
