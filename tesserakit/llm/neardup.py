@@ -223,7 +223,7 @@ def _outlines(part: pd.DataFrame) -> pd.DataFrame:
     heads, of, token, _ = _block(part)
     bucket = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
     counts = np.bincount(of * BUCKETS + bucket, minlength=len(heads) * BUCKETS).astype(np.uint16).reshape(-1, BUCKETS)
-    return pd.DataFrame({"doc": heads["doc"], "n": heads["n"].astype(np.int32), "outline": [c.tobytes() for c in counts]})
+    return pd.DataFrame({"doc": heads["doc"], "n": heads["n"].astype(np.int32), "outline": pd.Series([c.tobytes() for c in counts], dtype=object)})
 
 
 def _suffixes(t: float):
@@ -267,10 +267,14 @@ def _verify(salts: dict[str, int], length: int, least_words: int, t: float):
     return run
 
 
+def digest() -> F.Column:
+    """What names a text within its kind."""
+    return F.unhex(F.md5(F.concat_ws("\n", "kind", "text")))
+
+
 def texts_with_ids(rows: DataFrame) -> DataFrame:
     """kind, key, text and a digest of kind and text (copies share it), without null or empty texts."""
-    ident = F.unhex(F.md5(F.concat_ws("\n", "kind", "text")))
-    return rows.select("kind", "key", "text", ident.alias("id")).filter("kind is not null and key is not null and length(text) > 0")
+    return rows.select("kind", "key", "text", digest().alias("id")).filter("kind is not null and key is not null and length(text) > 0")
 
 
 def _ranges(rows: DataFrame) -> int:
@@ -354,7 +358,7 @@ def classes_and_links(rows: DataFrame, kinds: list[str], length: int = 5, thresh
     pairs, _ = similar_texts(known, kinds, length, threshold, least_words)
     links = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("kind", "id").agg(F.count("*").alias("links"))
     firsts = known.groupBy("kind", "id").agg(F.min("key").alias("class_key"))
-    ids = keyed.select("kind", "key", F.when(F.length("text") > 0, F.unhex(F.md5("text"))).alias("id")).distinct()
+    ids = keyed.select("kind", "key", F.when(F.length("text") > 0, digest()).alias("id")).distinct()
     return (
         ids.join(firsts, ["kind", "id"], "left")
         .join(links, ["kind", "id"], "left")

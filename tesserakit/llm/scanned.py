@@ -546,7 +546,7 @@ def _words(tokens: Counter) -> pd.DataFrame:
             counts[w] += n
             for p in w.split("-")[: None if "-" in w else 0]:
                 counts[p] += n
-    return pd.DataFrame({"word": list(counts), "n": list(counts.values())}, columns=["word", "n"])
+    return pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype=np.int64)})
 
 
 def vocabulary_of(clean: DataFrame, lexicon: DataFrame | None = None, least: int = 2) -> Vocabulary:

@@ -153,7 +153,7 @@ def _judge(limit: int, overlap: int):
                 bad = (end - before > limit) | ((order > 0) & (start != np.maximum(before - overlap, 0))) | (~natural & passed)
                 names += [name] * int(bad.sum())
                 numbers += order[bad].tolist()
-            yield pd.DataFrame({"source_file": names, "chunk_index": numbers})
+            yield pd.DataFrame({"source_file": pd.Series(names, dtype=object), "chunk_index": pd.Series(numbers, dtype=np.int64)})
 
     return run
 
