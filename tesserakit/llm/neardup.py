@@ -279,8 +279,8 @@ def texts_with_ids(rows: DataFrame) -> DataFrame:
 
 def _ranges(rows: DataFrame) -> int:
     """Ranges of the hash space: so many that one holds about a million tokens, whatever the input's size."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << min(16, max(4, math.ceil(math.log2(max(1, size) / 8e6))))
+    size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return 1 << min(18, max(2, math.ceil(math.log2(max(1, size) / 6e6))))
 
 
 def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
