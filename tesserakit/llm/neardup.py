@@ -6,13 +6,16 @@ order; with the rarest tokens first, few texts meet there. The stages, none of w
 than a block of texts or a range of token hashes in one task:
 
 1. ``_pack``: over the scan, without a shuffle, each block of texts becomes its tokens' hashes,
-   packed per range of the hash space (4 bytes a token).
+   packed per range of the hash space (3 bytes a token).
 2. ``_count``: per range, the number of texts of every token, over all texts; tokens of one text
    only can never be shared and go no further. The rest go back to their block with a rarity code.
-3. ``_prefixes``: per block, each text's tokens rare-first; its prefix comes out as rows.
-4. The prefix rows are joined on the token, under the length and the positional filter, in the JVM.
-5. ``_suffixes``: each distinct pair is held against histograms of the two token sets, whose
-   difference bounds the sets' difference from below, and then
+3. ``_prefixes``: per block, each text's tokens rare-first; its prefix goes back to the ranges, packed.
+   With prefixes longer by SHARED - 1, similar texts share SHARED tokens in them (or as many as they
+   must have in common at all), so pairs that met by one chance token go no further.
+4. ``_pairs``: per range, the texts of each token are paired under the length and the positional filter.
+   Tokens of crowds of texts (``_hot``) take a join on the token instead, which can be divided.
+5. ``_suffixes``: each distinct pair is held against histograms of the two token sets, whose lesser
+   counts bound what the sets have in common, and then
 6. ``_verify``: once per pair, the exact similarity from the two texts.
 
 Word-for-word copies are collapsed to one text first (by a 128-bit digest, aggregated map-side), so
@@ -30,6 +33,7 @@ import pandas as pd
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,39 +102,60 @@ PACKED = T.StructType(
         T.StructField("data", T.BinaryType()),
     ]
 )
-PREFIX = "token long, doc long, n int, pos int"
-OUTLINE = "doc long, n int, outline binary"
+RARE = "range int, block long, data binary"
+PAIRS = "key_a long, key_b long, n_a int, n_b int, c int"
+HOT = "token long, key long, n int, pos int"
+OUTLINE = "key long, doc long, outline binary"
+#: Tokens that a pair must share in its prefixes, which are longer by one less.
+SHARED = 4
+#: Texts with one token that one task pairs; a token of more goes through a join that can be divided.
+CROWD = 20_000
+#: Pairs held at once.
+CHUNK = 2_000_000
 #: A text within its block: its number, its count of tokens, the first half of its digest.
 HEAD = np.dtype([("at", np.uint32), ("n", np.uint32), ("doc", np.int64)])
 
 
+def _three(low: np.ndarray) -> np.ndarray:
+    """Numbers below 2^24 in three bytes each."""
+    return np.ascontiguousarray(low.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+
+
+def _from_three(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    out[:, :3] = data.reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _doc(ident: bytes) -> int:
     return int.from_bytes(ident[:8], "big", signed=True)
 
 
 def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
-    def flush(docs: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    def flush(docs: list[tuple[int, np.ndarray]], number: int) -> pd.DataFrame:
         heads = np.zeros(len(docs), dtype=HEAD)
         heads["at"] = np.arange(len(docs))
         heads["n"] = [len(t) for _, t in docs]
         heads["doc"] = [d for d, _ in docs]
-        block = int(xxhash.xxh3_64_intdigest(heads.tobytes())) >> 1
+        # a task that is run again gives its blocks the same names; no two blocks have one
+        task = TaskContext.get()
+        block = int(xxhash.xxh3_64_intdigest(heads.tobytes() + f"{task.partitionId() if task else 0} {number}".encode())) >> 2
         every = np.concatenate([t for _, t in docs])
         of = np.repeat(heads["at"], heads["n"])
         bucket = ((every >> np.uint64(32)) % np.uint64(ranges)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")  # by range, then text, then token
-        low, of, bucket = every[order].astype(np.uint32), of[order], bucket[order]
+        low, of, bucket = (every[order] & np.uint64(0xFFFFFF)).astype(np.uint32), of[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(ranges + 1))
         home = heads["doc"].astype(np.uint64) % np.uint64(ranges)
         rows = []
         for r in range(ranges):
             a, b = ends[r], ends[r + 1]
             counts = np.bincount(of[a:b], minlength=len(docs)).astype(np.uint32)
-            rows.append((r, block, len(docs), _zip(heads[home == r]), _zip(counts, low[a:b])))
+            rows.append((r, block, len(docs), _zip(heads[home == r]), _zip(counts, _three(low[a:b]))))
         return pd.DataFrame(rows, columns=PACKED.fieldNames())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, size, seen = [], 0, set()
+        docs, size, seen, number = [], 0, set(), 0
         for part in parts:
             for kind, ident, text in zip(part["kind"], part["id"], part["text"]):
                 doc = _doc(ident)
@@ -143,10 +168,10 @@ def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
                 docs.append((doc, found))
                 size += len(text)
                 if size >= BLOCK_CHARS:
-                    yield flush(docs)
-                    docs, size, seen = [], 0, set()
+                    yield flush(docs, number)
+                    docs, size, seen, number = [], 0, set(), number + 1
         if docs:
-            yield flush(docs)
+            yield flush(docs, number)
 
     return run
 
@@ -158,9 +183,9 @@ def _count(part: pd.DataFrame) -> pd.DataFrame:
     """
     rows, low_of, counts_of, heads_of = [], [], [], []
     for docs, heads, data in zip(part["docs"], part["heads"], part["data"]):
-        body = np.frombuffer(_unzip(data), dtype=np.uint32)
-        counts_of.append(body[:docs])
-        low_of.append(body[docs:])
+        body = _unzip(data)
+        counts_of.append(np.frombuffer(body, np.uint32, docs))
+        low_of.append(_from_three(np.frombuffer(body, np.uint8, -1, 4 * docs)))
         heads_of.append(np.frombuffer(_unzip(heads), dtype=HEAD))
     _, inverse, df = np.unique(np.concatenate(low_of), return_inverse=True, return_counts=True)
     code = np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)[inverse]
@@ -175,7 +200,7 @@ def _count(part: pd.DataFrame) -> pd.DataFrame:
         kept = own > 0
         of = np.repeat(np.arange(docs), counts)[kept]
         mine = heads[[owner[d] == block for d in heads["doc"].tolist()]] if len(heads) else heads
-        rows.append((r, block, docs, _zip(mine), _zip(np.bincount(of, minlength=docs).astype(np.uint32), low[kept], own[kept])))
+        rows.append((r, block, docs, _zip(mine), _zip(np.bincount(of, minlength=docs).astype(np.uint32), _three(low[kept]), own[kept])))
     return pd.DataFrame(rows, columns=PACKED.fieldNames())
 
 
@@ -192,8 +217,8 @@ def _block(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         counts = np.frombuffer(body, np.uint32, docs)
         m = int(counts.sum())
         of.append(np.repeat(np.arange(docs), counts))
-        token.append(np.frombuffer(body, np.uint32, m, 4 * docs).astype(np.int64) | np.int64(r) << np.int64(32))
-        code.append(np.frombuffer(body, np.uint8, m, 4 * docs + 4 * m))
+        token.append(_from_three(np.frombuffer(body, np.uint8, 3 * m, 4 * docs)).astype(np.int64) | np.int64(r) << np.int64(32))
+        code.append(np.frombuffer(body, np.uint8, m, 4 * docs + 3 * m))
         heads.append(np.frombuffer(_unzip(head), HEAD))
     of, token, code, heads = map(np.concatenate, (of, token, code, heads))
     number = np.full(int(part["docs"].iloc[0]), -1)
@@ -211,19 +236,96 @@ def _prefixes(t: float):
         shared = np.bincount(of, minlength=len(n))
         # tokens of no other text are the rarest and stand in front
         pos = np.arange(len(of)) - np.repeat(np.cumsum(shared) - shared, shared) + (n - shared)[of]
-        kept = pos < prefix_size(n, t)[of]
-        of = of[kept]
-        return pd.DataFrame({"token": token[kept], "doc": heads["doc"][of], "n": n[of].astype(np.int32), "pos": pos[kept].astype(np.int32)})
+        kept = pos < prefix_size(n, t)[of] + SHARED - 1
+        of, token, pos = of[kept], token[kept], pos[kept]
+        order = np.argsort(token, kind="stable")
+        of, token, pos = of[order], token[order], pos[order]
+        ranges = token >> 32
+        block = part["block"].iloc[0]
+        rows = []
+        for r in np.unique(ranges).tolist():
+            own = slice(*np.searchsorted(ranges, [r, r + 1]))
+            who = of[own]
+            columns = heads["at"][who], heads["n"][who], pos[own].astype(np.uint32)
+            rows.append((r, block, _zip(_three(token[own] & 0xFFFFFF), *(np.ascontiguousarray(c) for c in columns))))
+        return pd.DataFrame(rows, columns=["range", "block", "data"])
 
     return run
 
 
+def _range(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Of one range, in order of token: token, text, its count of tokens, place in its prefix; and where each token's texts end."""
+    low, key, n, pos = [], [], [], []
+    for block, data in zip(part["block"], part["data"]):
+        body = _unzip(data)
+        m = len(body) // 15
+        low.append(_from_three(np.frombuffer(body, np.uint8, 3 * m)))
+        at, size, place = np.frombuffer(body, np.uint8, -1, 3 * m).copy().view(np.uint32).reshape(3, m)
+        key.append(at.astype(np.int64) + block)
+        n.append(size.astype(np.int64))
+        pos.append(place.astype(np.int64))
+    low, key, n, pos = map(np.concatenate, (low, key, n, pos))
+    order = np.lexsort((key, n, low))
+    low, key, n, pos = low[order], key[order], n[order], pos[order]
+    return low, key, n, pos, np.searchsorted(low, low, side="right")
+
+
+def _need(n_a, n_b, t: float):  # noqa: ANN001, ANN202
+    """So many tokens two texts similar by t have in common."""
+    return t / (1 + t) * (n_a + n_b) - 1e-6
+
+
+def _pairs(t: float):
+    """Pairs of texts with a common token in their prefixes, under the length and the positional filter, with their number of such tokens.
+
+    Texts of a token come in order of size; of a common token that isn't the first, the filter allows for those before it.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        low, key, n, pos, end = _range(part)
+        start = np.searchsorted(low, low)
+        later = np.where(end - start <= CROWD, end - np.arange(len(low)) - 1, 0)
+        total = np.cumsum(later)
+        found, first = [], 0
+        while first < len(low):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + CHUNK, side="right")))
+            own = np.arange(first, last)
+            a = np.repeat(own, later[own])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[own]) - later[own], later[own])
+            good = n[a] >= t * n[b] - 1e-6
+            a, b = a[good], b[good]
+            good = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= _need(n[a], n[b], t) - (SHARED - 1)
+            a, b = a[good], b[good]
+            swap = key[a] > key[b]
+            x, y = np.where(swap, b, a), np.where(swap, a, b)
+            found.append(np.stack((key[x], key[y], n[x], n[y]), axis=1))
+            first = last
+        rows = np.concatenate(found)
+        if len(rows):
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+            counts = np.diff(np.r_[np.flatnonzero(new), len(rows)])
+            rows = rows[new]
+        else:
+            counts = np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({"key_a": rows[:, 0], "key_b": rows[:, 1], "n_a": rows[:, 2], "n_b": rows[:, 3], "c": counts})
+
+    return run
+
+
+def _hot(part: pd.DataFrame) -> pd.DataFrame:
+    """The texts of tokens that more have than one task should pair."""
+    low, key, n, pos, end = _range(part)
+    hot = end - np.searchsorted(low, low) > CROWD
+    return pd.DataFrame({"token": low[hot].astype(np.int64) | np.int64(part["range"].iloc[0]) << np.int64(32), "key": key[hot], "n": n[hot], "pos": pos[hot]})
+
+
 def _outlines(part: pd.DataFrame) -> pd.DataFrame:
     """Of each text, how many of its tokens that can be shared fall into each of some parts of the hash space."""
     heads, of, token, _ = _block(part)
     bucket = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
     counts = np.bincount(of * BUCKETS + bucket, minlength=len(heads) * BUCKETS).astype(np.uint16).reshape(-1, BUCKETS)
-    return pd.DataFrame({"doc": heads["doc"], "n": heads["n"].astype(np.int32), "outline": pd.Series([c.tobytes() for c in counts], dtype=object)})
+    return pd.DataFrame({"key": heads["at"].astype(np.int64) + part["block"].iloc[0], "doc": heads["doc"], "outline": pd.Series([c.tobytes() for c in counts], dtype=object)})
 
 
 def _suffixes(t: float):
@@ -278,9 +380,9 @@ def texts_with_ids(rows: DataFrame) -> DataFrame:
 
 
 def _ranges(rows: DataFrame) -> int:
-    """Ranges of the hash space: so many that one holds about a million tokens, whatever the input's size."""
+    """Ranges of the hash space: so many that one holds about half a million tokens, whatever the input's size."""
     size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    return 1 << min(18, max(2, math.ceil(math.log2(max(1, size) / 6e6))))
+    return 1 << min(18, max(2, math.ceil(math.log2(max(1, size) / 3e6))))
 
 
 def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -292,22 +394,24 @@ def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold:
     salts = {k: i + 1 for i, k in enumerate(kinds)}
     packed = rows.select("kind", "id", "text").mapInPandas(_pack(salts, length, least_words, _ranges(rows)), PACKED)
     blocks = packed.groupBy("range").applyInPandas(_count, PACKED).groupBy("block")
-    prefixes = blocks.applyInPandas(_prefixes(threshold), PREFIX)
-    a, b = (prefixes.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "pos"))) for s in "ab")
-    most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    pairs = (
+    rare = blocks.applyInPandas(_prefixes(threshold), RARE).groupBy("range")
+    hot = rare.applyInPandas(_hot, HOT)
+    a, b = (hot.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos"))) for s in "ab")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    crowds = (
         a.join(b, "token")
-        .filter((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b"))))
-        .filter(F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-6)
-        .filter(most >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-        .select("doc_a", "doc_b")
-        .distinct()
+        .filter("key_a < key_b")
+        .filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-6)
+        .filter(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need - (SHARED - 1))
+        .select("key_a", "key_b", "n_a", "n_b", F.lit(1).alias("c"))
     )
+    pairs = rare.applyInPandas(_pairs(threshold), PAIRS).unionByName(crowds).groupBy("key_a", "key_b", "n_a", "n_b").agg(F.sum("c").alias("c"))
+    pairs = pairs.filter(F.col("c") >= F.least(F.lit(float(SHARED)), need)).select("key_a", "key_b", "n_a", "n_b")
     outlines = blocks.applyInPandas(_outlines, OUTLINE)
     copied = rows.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select(first_half("id").alias("doc"))
     copied = copied.join(outlines.select("doc"), "doc").select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"))
     for s in "ab":
-        pairs = pairs.join(outlines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "outline"))), f"doc_{s}")
+        pairs = pairs.join(outlines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "doc", "outline"))), f"key_{s}")
     both = cut_lineage(pairs.mapInPandas(_suffixes(threshold), "doc_a long, doc_b long").unionByName(copied))
     pairs, copied = both.filter("doc_a < doc_b or doc_a > doc_b"), both.filter("doc_a = doc_b").select(F.col("doc_a").alias("doc"))
     keyed = rows.select("kind", "id", "text", first_half("id").alias("doc"))
