@@ -307,7 +307,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, size: int = 96) -> DataFr
         copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("inside", F.col("part") == F.col("home"))
     else:
         copies = copies.withColumn("part", F.lit(0)).withColumn("inside", F.lit(True))
-    found = copies.groupBy("cell", "part").applyInPandas(_search_shard(k, size), "key string, found array<struct<similarity:double,key:string>>")
+    # building graphs takes far longer than moving their vectors, so their number, not their bytes, sets that of the tasks
+    tasks = min(4000, max(vectors.sparkSession.sparkContext.defaultParallelism, cells))
+    found = copies.repartition(tasks, "cell", "part").groupBy("cell", "part").applyInPandas(_search_shard(k, size), "key string, found array<struct<similarity:double,key:string>>")
     # a neighbour that several shards found counts once
     one = F.transform("found", lambda f: F.struct((-F.round(f["similarity"], 12)).alias("less"), f["key"].alias("neighbour")))
     best = found.select("key", one.alias("found")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
