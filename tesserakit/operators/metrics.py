@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import shutil
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The fact tables and the column that dates a row, in epoch seconds.
@@ -60,3 +64,45 @@ def recent(rows: DataFrame, time: str, key: str, n: int, oldest_first: bool = Fa
 def purge(rows: DataFrame, time: str, now: float, days: float) -> DataFrame:
     """Rows no older than ``days`` at ``now`` (epoch seconds); undated rows stay."""
     return rows.filter(F.col(time).isNull() | (F.col(time) >= now - 86400.0 * days))
+
+
+def append(rows: DataFrame, folder: str, fact: str) -> None:
+    """Adds rows to a fact table; columns they lack are null."""
+    empty = rows.sparkSession.createDataFrame([], SCHEMAS[fact])
+    empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{folder}/{fact}")
+
+
+def read(spark: SparkSession, folder: str, fact: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[fact]).parquet(f"{folder}/{fact}") if os.path.isdir(f"{folder}/{fact}") else spark.createDataFrame([], SCHEMAS[fact])
+
+
+def purge_all(spark: SparkSession, folder: str, days: float, now: float | None = None) -> int:
+    """Applies retention to all fact tables; returns how many rows went. Each table is written beside itself and then swapped."""
+    gone, now = 0, time.time() if now is None else now
+    for fact, when in FACTS.items():
+        path = f"{folder}/{fact}"
+        if not os.path.isdir(path):
+            continue
+        rows = read(spark, folder, fact)
+        left = purge(rows, when, now, days)
+        went = rows.count() - left.count()
+        if went:
+            left.write.mode("overwrite").parquet(f"{path}.next")
+            os.rename(path, f"{path}.old")
+            os.rename(f"{path}.next", path)
+            shutil.rmtree(f"{path}.old")
+        gone += went
+    return gone
+
+
+def system_snapshot(spark: SparkSession) -> DataFrame:
+    """One row on this machine just now; figures that can't be had are null."""
+    try:
+        import psutil
+
+        memory = psutil.virtual_memory()
+        own = psutil.Process().memory_info().rss / 2**20
+        values = (None, time.time(), float(psutil.cpu_percent()), float(memory.percent), memory.used / 2**20, own)
+    except ImportError:
+        values = (None, time.time(), None, None, None, None)
+    return spark.createDataFrame([values], SCHEMAS["system_snapshots"])

@@ -65,6 +65,22 @@ def display_path(path: Column, folders: list[str]) -> Column:
     return out
 
 
+def resolve(asked: DataFrame, paths: DataFrame, folders: list[str]) -> DataFrame:
+    """asked and path: for each shown or full path (column ``asked``) the first stored path (column ``path``) that it names.
+
+    Letter case and the kind of slash don't matter for shown paths; a name that nothing has is left out.
+    """
+    plain = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    stored = paths.select("path").distinct()
+    names = stored.select("path", plain(F.col("path")).alias("name")).union(stored.select("path", plain(display_path(F.col("path"), folders)).alias("name")))
+    return asked.select("asked", plain(F.col("asked")).alias("name")).distinct().join(names, "name").groupBy("asked").agg(F.min("path").alias("path"))
+
+
+def pages(total: int, size: int) -> int:
+    """How many pages a list has."""
+    return -(-total // size) if size > 0 else int(total > 0)
+
+
 def changed(current: DataFrame, manifest: DataFrame) -> DataFrame:
     """path and change (new, modified or removed) between files (path, mtime_ns, and content_hash if known) and a manifest.
 

@@ -216,6 +216,13 @@ def display_paths(spark, sf_dir):
     return paths.select("source_file", store.display_path(F.col("source_file"), FOLDERS).alias("shown"))
 
 
+def resolved_paths(spark, sf_dir):
+    """The file that each shown path, in capitals, names."""
+    paths = store.sources(_chunks(spark, sf_dir)).select(F.col("source_file").alias("path"))
+    asked = paths.select(F.upper(store.display_path(F.col("path"), FOLDERS)).alias("asked"))
+    return store.resolve(asked, paths, FOLDERS)
+
+
 def document_chunks(spark, sf_dir):
     """The chunks of every file in order, with how many there are."""
     rows = _chunks(spark, sf_dir).select("source_file", "chunk_index", "start_char", "end_char").distinct()
@@ -385,7 +392,7 @@ QUERIES = {
         [format_dispatch, code_languages, path_parts, skipped_paths, log_counts, markdown_clean, rst_clean, doc_summaries, events_props_flat]
         + [chunk_documents, section_rows, page_sections, heading_sections, fixed_windows, context_prefix]
         + [token_counts, blank_texts, embedding_texts, hash_embedding, iso_times, durations, metadata_values, metadata_merged, content_hashes]
-        + [source_counts, store_stats, source_page, source_filter, display_paths, document_chunks, upserted, without_sources, known_ids, source_sets]
+        + [source_counts, store_stats, source_page, source_filter, display_paths, resolved_paths, document_chunks, upserted, without_sources, known_ids, source_sets]
         + [manifest_changes, change_counts, manifest_problems, manifest_totals, manifest_invalidated, manifest_upserted, manifest_migrated, wrong_counts]
         + [search_dashboard, search_dashboard_by_base, search_dashboard_of_one, latest_search, recent_searches, recent_searches_chart, purged_searches, searches_by_day]
         + [relevant_events, last_events, debounce_sessions, debounced_events, late_events, streamed_events]
@@ -428,6 +435,8 @@ ch AS (SELECT coalesce(cur.path, man.path) AS path, CASE WHEN man.path IS NULL T
 """
 )
 _ST = "(SELECT source_file, count(DISTINCT chunk_id) AS n FROM chunks WHERE source_file <> '' GROUP BY 1)"
+_SHOWN = f"""SELECT source_file, CASE WHEN starts_with(source_file, 'ops/') THEN substr(source_file, 5) WHEN starts_with(source_file, 'docs/2023/') THEN substr(source_file, 11)
+ WHEN starts_with(source_file, 'docs/') THEN substr(source_file, 6) ELSE {_NAME.format("source_file")} END AS shown FROM {_ST}"""
 _SQ = "(SELECT DISTINCT * FROM search_queries)"
 _DASH = "count(*) AS searches, round(avg(CASE WHEN total_duration_ms >= 0 THEN total_duration_ms END), 4) AS avg_ms, round(avg(results_returned), 4) AS avg_results, round(avg(top_score), 4) AS avg_top_score"
 _TOKS = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda t: t <> '')"
@@ -458,8 +467,11 @@ WHERE trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1
     "store_stats": f"SELECT CAST(sum(n) AS BIGINT) AS total_chunks, count(*) AS total_files, round(sum(n) / count(*), 1) AS avg_chunks_per_file FROM {_ST}",
     "source_page": f"SELECT source_file, n AS chunk_count, (SELECT count(*) FROM {_ST}) AS total FROM {_ST} ORDER BY source_file LIMIT 10 OFFSET 10",
     "source_filter": f"SELECT source_file, n AS chunk_count FROM {_ST} WHERE contains(lower(source_file), 'report')",
-    "display_paths": f"""SELECT source_file, CASE WHEN starts_with(source_file, 'ops/') THEN substr(source_file, 5) WHEN starts_with(source_file, 'docs/2023/') THEN substr(source_file, 11)
- WHEN starts_with(source_file, 'docs/') THEN substr(source_file, 6) ELSE {_NAME.format("source_file")} END AS shown FROM {_ST}""",
+    "display_paths": _SHOWN,
+    "resolved_paths": "WITH s AS ("
+    + _SHOWN
+    + """), names AS (SELECT source_file AS path, lower(source_file) AS name FROM s UNION SELECT source_file, lower(shown) FROM s)
+SELECT asked, min(path) AS path FROM (SELECT DISTINCT upper(shown) AS asked, lower(upper(shown)) AS name FROM s) JOIN names USING (name) GROUP BY 1""",
     "document_chunks": "SELECT *, count(*) OVER (PARTITION BY source_file) AS of FROM (SELECT DISTINCT source_file, chunk_index, start_char, end_char FROM chunks)",
     "upserted": """WITH new AS (SELECT DISTINCT chunk_id, source_file, 0 AS n FROM hits WHERE text IS NOT NULL), old AS (SELECT DISTINCT chunk_id, source_file, length(text) AS n FROM chunks),
 every AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new))

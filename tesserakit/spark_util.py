@@ -38,13 +38,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, rows_per_task_bytes: int | None = None) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, where a scan of few large files gave fewer.
-
-    A scan's split size follows the files, not the work per row; for operators that spend far more
-    time on a row than reading it, one round-robin exchange of the pruned columns pays for itself.
-    """
-    sc = df.sparkSession.sparkContext
-    want = max(sc.defaultParallelism, 2) * 2
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -7,11 +7,13 @@ or of one busy hour, are never sorted in one task for lack of a key. As a stream
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..sources import formats, skip
 
@@ -67,3 +69,24 @@ def follow(events: DataFrame, checkpoint: str, act: Callable[[DataFrame, int], N
     """Runs ``act`` on each micro-batch of last events: what is there now, or on and on."""
     writer = events.writeStream.foreachBatch(lambda batch, n: act(last_event_wins(batch), n)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``report`` of a stream's progress, no more often than every ``every`` seconds but for the end."""
+
+    def __init__(self, report: Callable[[dict], None], every: float = 0.25):
+        self.report, self.every, self.last = report, every, 0.0
+
+    def onQueryStarted(self, event):  # noqa: ANN001, N802
+        self.report({"state": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event):  # noqa: ANN001, N802
+        if (now := time.monotonic()) - self.last >= self.every:
+            self.last = now
+            self.report({"state": "running", "batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event):  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: ANN001, N802
+        self.report({"state": "ended", "error": event.exception})

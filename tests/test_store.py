@@ -63,3 +63,20 @@ def test_metrics(spark):
     assert metrics.latest(rows, "timestamp", "id").first()["id"] == 2
     assert [r["id"] for r in metrics.recent(rows, "timestamp", "id", 5, oldest_first=True).collect()] == [1, 2]
     assert metrics.purge(rows, "timestamp", 86400.0 + 15, 1).count() == 2
+
+
+def test_facts_on_disk(spark, tmp_path):
+    folder = str(tmp_path)
+    metrics.append(table(spark, [(1, "x", 10.0), (2, "x", 200_000.0)], "id bigint, rag_name string, timestamp double"), folder, "search_queries")
+    metrics.append(metrics.system_snapshot(spark), folder, "system_snapshots")
+    assert metrics.read(spark, folder, "search_queries").count() == 2 and metrics.read(spark, folder, "embedding_batches").count() == 0
+    assert metrics.purge_all(spark, folder, 1, now=200_000.0) == 1 and metrics.read(spark, folder, "search_queries").count() == 1
+    assert tuple(metrics.indexing_dashboard(metrics.read(spark, folder, "indexing_runs")).first()) == (0, None, None, 0, 0)
+    assert metrics.embedding_dashboard(metrics.read(spark, folder, "embedding_batches")).first()["texts"] == 0
+
+
+def test_paths(spark):
+    paths = table(spark, [("ops/a/B.md",), ("docs/b.md",), ("x/b.md",)], "path string")
+    asked = table(spark, [("A\\b.MD",), ("b.md",), ("none",), ("ops/a/B.md",)], "asked string")
+    assert {tuple(r) for r in store.resolve(asked, paths, ["ops", "docs"]).collect()} == {("A\\b.MD", "ops/a/B.md"), ("b.md", "docs/b.md"), ("ops/a/B.md", "ops/a/B.md")}
+    assert [store.pages(n, 10) for n in (0, 1, 10, 11)] == [0, 1, 1, 2] and store.pages(5, 0) == 1
