@@ -36,6 +36,8 @@ CODE = re.compile(r"^[A-Z]{1,3}[-–][0-9lIOoSBZ]{1,5}$")
 TERMINAL = (".", "!", "?", ":", "”", "“", '"', "»", ")", "…")
 HYPHENS = "-‐¬­"
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:[-‐’'][\p{L}\p{M}]+)*")
+#: A word that no digits or codes run into.
+WHOLE = regex.compile(r"(?<![\w-])[\p{L}\p{M}]+(?:[-‐’'][\p{L}\p{M}]+)*(?!\w|-\d)")
 PUNCTUATION = ".,;:!?()[]{}\"“”„«»‘’'…–—"
 # Characters that scans mistake for a digit.
 DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "O": "0", "o": "0", "S": "5", "B": "8", "Z": "2", "z": "2", "]": "1", "g": "9", "b": "6"})
@@ -303,6 +305,14 @@ class Vocabulary:
 
     counts: dict[str, int]
     known: dict[str, str | None] = field(default_factory=dict)
+    #: Hyphenated words by what stands before their last hyphen.
+    compounds: dict[str, list[str]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for word in self.counts:
+            if "-" in word:
+                before, _, last = word.rpartition("-")
+                self.compounds.setdefault(before, []).append(last)
 
     def __contains__(self, word: str) -> bool:
         return word in self.counts
@@ -425,7 +435,7 @@ def _compound(left: str, right: str, vocabulary: Vocabulary) -> bool:
     whole, hyphened = a + b, f"{a}-{b}"
     if whole in vocabulary or hyphened in vocabulary:
         return vocabulary.counts.get(hyphened, 0) > vocabulary.counts.get(whole, 0)
-    if any(w.startswith(f"{a}-") and vocabulary.correct(b) == w[len(a) + 1 :] for w in vocabulary.counts if w.startswith(f"{a}-")):
+    if vocabulary.correct(b) in vocabulary.compounds.get(a, ()):
         return True
     if vocabulary.correct(whole) is not None:
         return False
@@ -542,7 +552,7 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _words(tokens: Counter) -> pd.DataFrame:
     counts: Counter = Counter()
     for token, n in tokens.items():
-        for w in WORD.findall(token.lower().replace("‐", "-")):
+        for w in WHOLE.findall(token.lower().replace("‐", "-")):
             counts[w] += n
             for p in w.split("-")[: None if "-" in w else 0]:
                 counts[p] += n
