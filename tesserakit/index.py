@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import Catalog
 from .config import Settings
 from .operators import chunking, embedding, store
+from .operators.retrieval import Bm25Index
 from .operators.retrieval import search as run_search
 from .sources import scan
 
@@ -40,13 +41,30 @@ def index(spark: SparkSession, catalog: Catalog, name: str, settings: Settings |
         chunks = chunks.withColumn("embedding", embedding.embed("text", entry.embedding_model, batch=s.embedding_batch_size))
         base.replace_files(chunks, wanted.select("path", "mtime_ns", "content_hash"))
     changes.unpersist()
+    keyword_index(spark, entry.path)
     stats = store.store_stats(base.chunks.read()).first()
     catalog.update(name, file_count=stats["total_files"], chunk_count=stats["total_chunks"])
     return {k: counts.get(k, 0) for k in ("new", "modified", "removed")}
 
 
+def keyword_index(spark: SparkSession, folder: str) -> Bm25Index:
+    """The keyword index of the store's current version, saved under that version's name, so it is never stale."""
+    chunks = store.KnowledgeBase.at(spark, folder).chunks
+    version = chunks.version()
+    if version is None:
+        return Bm25Index.of(chunks.read(), "chunk_id")
+    at = f"{folder}/keywords/{version}"
+    fs, path = chunks._fs()
+    if not fs.exists(path(f"{at}/stats/_SUCCESS")):
+        if fs.exists(path(f"{folder}/keywords")):
+            fs.delete(path(f"{folder}/keywords"), True)
+        Bm25Index.of(chunks.read(), "chunk_id").save(at)
+    return Bm25Index.load(spark, at)
+
+
 def search(spark: SparkSession, catalog: Catalog, name: str, query: str, top_k: int = 5, settings: Settings | None = None, min_score: float | None = None) -> DataFrame:
     """The best chunks of a collection for a query."""
     s, entry = settings or Settings(), catalog.get(name)
     vector = embedding.unit(embedding.backend(entry.embedding_model).embed([query]))[0].tolist()
-    return run_search(store.KnowledgeBase.at(spark, entry.path).chunks.read(), query, vector, s.search(top_k, min_score))
+    chunks = store.KnowledgeBase.at(spark, entry.path).chunks.read()
+    return run_search(chunks, query, vector, s.search(top_k, min_score), keyword_index(spark, entry.path))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,39 +115,66 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, size: int
 # --- BM25 ------------------------------------------------------------------------------------------------------------
 
 
+#: Folders that saved postings are divided into by term.
+BUCKETS = 64
+
+
+def _bucket(term: str | Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Bm25Index:
-    """docs (id, dl), postings (id, term, tf) and terms (term, df, idf) of a corpus, and its number of texts and mean length.
+    """A corpus as terms (term, df, raw_idf, idf), its stats (n, avgdl) and either its words by text or its saved postings.
 
     ``idf`` is ln(N - df + 0.5) - ln(df + 0.5); negative ones are replaced by EPSILON times the mean over the vocabulary.
     """
 
-    docs: DataFrame
     terms: DataFrame
-    source: DataFrame
     stats: DataFrame
+    source: DataFrame | None = None
+    postings: DataFrame | None = None
 
     @staticmethod
     def of(corpus: DataFrame, key: str, text: str = "text") -> Bm25Index:
         source = corpus.select(F.col(key).alias("id"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        docs = source.select("id", F.size("tokens").alias("dl"))
-        stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        stats = source.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
         df = source.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean"))
         idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
         terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.col("raw").alias("raw_idf"), idf.alias("idf"))  # one row
-        return Bm25Index(docs, terms, source, stats)
+        return Bm25Index(terms, stats, source)
+
+    def save(self, folder: str) -> None:
+        """Writes postings and terms, divided by term, so that a search reads its words' folders only."""
+        tf = self.source.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        for rows, name in ((tf, "postings"), (self.terms, "terms")):
+            rows.withColumn("bucket", _bucket("term")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/{name}")
+        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Bm25Index:
+        terms, stats, postings = (spark.read.parquet(f"{folder}/{name}") for name in ("terms", "stats", "postings"))
+        return Bm25Index(terms, stats, postings=postings)
 
     def scores(self, query: str) -> DataFrame:
         """id and score (6 digits) of the texts with any of the query's words; a word that the query has twice counts twice."""
-        spark = self.docs.sparkSession
-        words = [w for w in query.lower().split() if w]
-        wanted = spark.createDataFrame([(w, words.count(w)) for w in dict.fromkeys(words)], "term string, times int")
-        hit = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, dict.fromkeys(words))))) if words else self.source.limit(0)
-        tf = hit.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(list(dict.fromkeys(words))))).alias("term"))
-        tf = tf.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-        weighted = F.broadcast(self.terms.join(F.broadcast(wanted), "term"))  # as many rows as the query has words
+        spark = self.terms.sparkSession
+        words = query.lower().split()
+        different = list(dict.fromkeys(words))
+        wanted = spark.createDataFrame([(w, words.count(w)) for w in different], "term string, times int")
+        terms = self.terms
+        if self.postings is not None:
+            # the words' buckets are few and known before the plan is made
+            buckets = [r[0] for r in wanted.select(_bucket("term")).distinct().collect()]
+            terms = terms.filter(F.col("bucket").isin(buckets))
+            tf = self.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(different)).select("id", "dl", "term", "tf")
+        else:
+            hit = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, different)))) if words else self.source.limit(0)
+            tf = hit.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(different))).alias("term"))
+            tf = tf.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        weighted = F.broadcast(terms.select("term", "idf").join(F.broadcast(wanted), "term"))  # as many rows as the query has words
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         rows = tf.join(weighted, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))  # one row
         return rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))

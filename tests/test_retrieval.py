@@ -31,6 +31,14 @@ def test_bm25(spark):
     assert R.bm25_search(index, "   ", 5).count() == 0 and R.bm25_search(index, "zebra", 5).count() == 0
 
 
+def test_saved_index_equals_the_live_one(spark, tmp_path):
+    live = R.Bm25Index.of(spark.createDataFrame(DOCS, "id int, text string"), "id")
+    live.save(str(tmp_path / "i"))
+    saved = R.Bm25Index.load(spark, str(tmp_path / "i"))
+    for query in ("cat", "The the cat", "zebra", ""):
+        assert {r["id"]: r["score"] for r in saved.scores(query).collect()} == by_hand(DOCS, query)
+
+
 def test_bm25_empty_corpus(spark):
     index = R.Bm25Index.of(spark.createDataFrame([], "id int, text string"), "id")
     assert R.bm25_search(index, "cat", 5).count() == 0
