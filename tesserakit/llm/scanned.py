@@ -165,10 +165,17 @@ def layout(text: str, title: str | None = None) -> list[Line]:
             line.gap = f"{int(blank(k - 1))}{int(blank(k + 1))}"
         keys[p] = [(k, _key(lines[k].text)) for k in {*ks[:2], *ks[-2:]}]
     named = _key(title or "")
+    times = Counter(key for own in keys.values() for key in {key for _, key in own})
+    frequent = [key for key, n in times.items() if n > 1 and len(key) >= 6]
     for p, own in keys.items():
         for k, key in own:
             if len(key) >= 6:
-                n = sum(any(_alike(key, other) for _, other in keys[q]) for q in keys if q != p)
+                # the same on other pages, or nearly so where it was misread
+                n = times[key] - 1
+                if n < 2:
+                    n += sum(any(key != other and _alike(key, other) for _, other in keys.get(q, ())) for q in (p - 2, p - 1, p + 1, p + 2))
+                if n < 2:
+                    n += max((times[other] for other in frequent if other != key and _alike(key, other)), default=0)
                 n = max(n, 2 if named and _alike(key, named) else 0)
                 lines[k].repeat = "0" if not n else "1" if n == 1 else "2"
     offsets = Counter(line.value - line.page for line in lines if line.value is not None and line.edge != "M" and line.shape != "row")
@@ -274,6 +281,8 @@ class Layout:
                     if (w := self.weights.get(v)) is not None:
                         seen = seen + w
                 seen[BREAK] = -1e9
+                if line.shape in ("up", "low") and line.repeat == "0":
+                    seen[[HEADER, FOOTER]] -= 3.0  # plain text that no other page has at its edge
                 if line.edge[0] != "T":
                     seen[HEADER] = -1e9
                 if line.edge[0] != "B" and line.edge != "T1":
