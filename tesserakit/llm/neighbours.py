@@ -73,8 +73,9 @@ class SmallWorld:
         s = starts.shape[1]
         ids[:, :s], done[:, :s] = starts, False
         sims[:, :s] = np.einsum("mkd,md->mk", self.x[starts], q)
-        seen = np.zeros((m, n + 1), dtype=bool)
-        seen[np.arange(m)[:, None], starts] = True
+        # -1 until a query has seen a node; flat, one stretch a query
+        seen = np.full(m * n, -1, dtype=np.int32)
+        seen[(np.arange(m)[:, None] * n + starts).ravel()] = 0
         live = np.arange(m)
         expand = 1 if width == 1 else 4
         while len(live):
@@ -90,15 +91,18 @@ class SmallWorld:
             nodes = ids[live[:, None], pick]
             found = self._neighbours(np.where(good, nodes, 0), h)
             found = np.where(good[:, :, None], found, -1).reshape(len(live), -1)
-            fresh = ~seen[live[:, None], found] & (found >= 0)
-            r, c = np.nonzero(fresh)
-            if not len(r):
-                continue
+            r, c = np.nonzero(found >= 0)
             node = found[r, c]
-            seen[live[r], node] = True
-            # a node that two opened nodes link to is taken once
-            _, first = np.unique(r.astype(np.int64) * (n + 1) + node, return_index=True)
-            r, node = r[first], node[first]
+            place = live[r] * n + node
+            fresh = np.flatnonzero(seen[place] < 0)
+            if not len(fresh):
+                continue
+            r, node, place = r[fresh], node[fresh], place[fresh]
+            # a node that two opened nodes link to is taken once: the one written last
+            mine = np.arange(len(r), dtype=np.int32)
+            seen[place] = mine
+            once = seen[place] == mine
+            r, node = r[once], node[once]
             sim = np.einsum("kd,kd->k", self.x[node], q[live[r]])
             better = sim > sims[live[r], -1]
             r, node, sim = r[better], node[better], sim[better]
