@@ -11,6 +11,7 @@ from .operators import chunking, embedding, store
 from .operators.retrieval import Bm25Index
 from .operators.retrieval import search as run_search
 from .sources import scan
+from .spark_util import on_workers
 
 
 def listing(spark: SparkSession, folders: tuple[str, ...]) -> DataFrame:
@@ -25,6 +26,7 @@ def listing(spark: SparkSession, folders: tuple[str, ...]) -> DataFrame:
 
 def index(spark: SparkSession, catalog: Catalog, name: str, settings: Settings | None = None, full: bool = False) -> dict[str, int]:
     """Takes up new and modified files of a collection's folders, lets removed ones go, and returns the counts of changes."""
+    on_workers(spark)
     s, entry = settings or Settings(), catalog.writable(name)
     base = store.KnowledgeBase.at(spark, entry.path)
     if full:
@@ -64,6 +66,7 @@ def keyword_index(spark: SparkSession, folder: str) -> Bm25Index:
 
 def search(spark: SparkSession, catalog: Catalog, name: str, query: str, top_k: int = 5, settings: Settings | None = None, min_score: float | None = None) -> DataFrame:
     """The best chunks of a collection for a query."""
+    on_workers(spark)
     s, entry = settings or Settings(), catalog.get(name)
     vector = embedding.unit(embedding.backend(entry.embedding_model).embed([query]))[0].tolist()
     chunks = store.KnowledgeBase.at(spark, entry.path).chunks.read()

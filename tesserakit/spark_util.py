@@ -9,8 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    That is enough where they share the driver's disk; elsewhere the package is sent along with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
