@@ -134,6 +134,7 @@ class Bm25Index:
     stats: DataFrame
     source: DataFrame | None = None
     postings: DataFrame | None = None
+    mean_length: float | None = None
 
     @staticmethod
     def of(corpus: DataFrame, key: str, text: str = "text") -> Bm25Index:
@@ -160,24 +161,31 @@ class Bm25Index:
 
     def scores(self, query: str) -> DataFrame:
         """id and score (6 digits) of the texts with any of the query's words; a word that the query has twice counts twice."""
-        spark = self.terms.sparkSession
         words = query.lower().split()
-        different = list(dict.fromkeys(words))
-        wanted = spark.createDataFrame([(w, words.count(w)) for w in different], "term string, times int")
-        terms = self.terms
+        times = {w: words.count(w) for w in words}
+        gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         if self.postings is not None:
-            # the words' buckets are few and known before the plan is made
-            buckets = [r[0] for r in wanted.select(_bucket("term")).distinct().collect()]
-            terms = terms.filter(F.col("bucket").isin(buckets))
-            tf = self.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(different)).select("id", "dl", "term", "tf")
-        else:
-            hit = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, different)))) if words else self.source.limit(0)
-            tf = hit.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(different))).alias("term"))
-            tf = tf.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-        weighted = F.broadcast(terms.select("term", "idf").join(F.broadcast(wanted), "term"))  # as many rows as the query has words
-        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+            return self._saved_scores(times, gain)
+        hit = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, times)))) if words else self.source.limit(0)
+        tf = hit.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(list(times)))).alias("term"))
+        tf = tf.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        wanted = self.terms.sparkSession.createDataFrame(list(times.items()), "term string, times int")
+        weighted = F.broadcast(self.terms.select("term", "idf").join(F.broadcast(wanted), "term"))  # as many rows as the query has words
         rows = tf.join(weighted, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))  # one row
-        return rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+        return rows.groupBy("id").agg(F.round(F.sum(F.col("times") * F.col("idf") * gain), 6).alias("score"))
+
+    def _saved_scores(self, times: dict[str, int], gain: Column) -> DataFrame:
+        """Scores from saved postings: the few words' weights are read first, then their postings, in their folders only."""
+        import xxhash
+
+        buckets = sorted({(h - (1 << 64) if h >> 63 else h) % BUCKETS for h in (xxhash.xxh64_intdigest(w.encode(), seed=42) for w in times)})
+        mine = F.col("bucket").isin(buckets) & F.col("term").isin(list(times))
+        weight = {r["term"]: r["idf"] * times[r["term"]] for r in self.terms.filter(mine).select("term", "idf").collect()}
+        if self.mean_length is None:
+            self.mean_length = self.stats.first()["avgdl"] or 0.0
+        rows = self.postings.filter(mine).withColumn("avgdl", F.lit(self.mean_length))
+        of = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv])[F.col("term")] if weight else F.lit(0.0)
+        return rows.groupBy("id").agg(F.round(F.sum(of * gain), 6).alias("score"))
 
 
 def bm25_search(index: Bm25Index, query: str, k: int) -> DataFrame:
