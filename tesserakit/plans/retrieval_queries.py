@@ -213,13 +213,13 @@ fused AS (SELECT coalesce(vn.id, kn.id) AS id, coalesce(v, 0) AS v, coalesce(b,
 
 
 SQL = {
-    "bm25_topk": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id AS doc_id, score FROM (SELECT * FROM scores ORDER BY score DESC, id LIMIT 20) WHERE score > 0",
+    "bm25_topk": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id AS doc_id, score FROM (SELECT * FROM scores ORDER BY score DESC, id LIMIT 20) WHERE score > 0",
     "bm25_scores": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT id AS doc_id, score FROM scores",
     "bm25_term_stats": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_negative_idf": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM idf WHERE raw_idf < 0",
-    "vector_topk": "WITH " + _VECTORS + "SELECT row_number() OVER (ORDER BY similarity DESC, id) AS rank, id AS chunk_id, similarity FROM sims ORDER BY 1 LIMIT 20",
-    "vector_threshold": "WITH " + _VECTORS + "SELECT row_number() OVER (ORDER BY similarity DESC, id) AS rank, id AS chunk_id, similarity FROM sims WHERE similarity >= 0.6 ORDER BY 1 LIMIT 50",
-    "vector_filtered": "WITH " + _VECTORS + "SELECT row_number() OVER (ORDER BY similarity DESC, id) AS rank, id AS chunk_id, similarity FROM sims WHERE format = 'markdown' ORDER BY 1 LIMIT 20",
+    "vector_topk": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims ORDER BY 1 LIMIT 20",
+    "vector_threshold": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims WHERE similarity >= 0.6 ORDER BY 1 LIMIT 50",
+    "vector_filtered": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims WHERE format = 'markdown' ORDER BY 1 LIMIT 20",
     "vector_topk_many": """
 WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
@@ -232,7 +232,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, similarity FROM r WHERE rank
 best AS (SELECT id FROM fused ORDER BY round(0.7 * v + 0.3 * b, 6) DESC, id LIMIT 40),
 again AS (SELECT DISTINCT id, source_file, chunk_index, round(1 / (1 + exp(-(6.0 * len(list_intersect(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), [{_WORDS}])) / 5 - 3))), 6) AS score
           FROM best JOIN chunks ON chunk_id = id),
-top AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, * FROM again)
+top AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, * FROM again)
 SELECT rank, id AS chunk_id, source_file, chunk_index, round(score, 4) AS score FROM top WHERE rank <= 10 AND score >= 0.15
 """,
     "rerank_hits": f"""
