@@ -1,8 +1,8 @@
 """Repairing the text of scanned pages.
 
 The lines of a file are a sequence that a linear conditional model labels by layout: page header,
-footer, first line of a paragraph, further line, break. It is trained here, without labelled pages: seeds
-from plain cases give a first model, and training on its own labels of a bounded sample refines it. Words are
+footer, first line of a paragraph, further line, break. It is trained here, without labelled pages, on
+the plain cases of a bounded sample of files, which layout rules label (``seeds``). Words are
 then judged against a vocabulary counted over all texts that weren't scanned, and paragraphs are put
 together from the lines' labels, with broken words joined and misread ones corrected.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 #: Files the layout model is trained on, about; twice as many at most.
 SAMPLE = 400
+#: Further rounds of training on the model's own labels; they made running lines of plain text, so none is the default.
 ROUNDS = 0
 #: Least relative frequency of a word in the vocabulary.
 LEAST = 1e-6
@@ -300,7 +301,7 @@ class Layout:
 
 
 def train(texts: list[tuple[str, str | None]], rounds: int = ROUNDS) -> Layout:
-    """A layout model from files' texts and titles: seeds, then rounds of Viterbi training."""
+    """A layout model from files' texts and titles, trained on their seeds and, for ``rounds``, on its own labels."""
     files = [layout(text, title) for text, title in texts]
     model = Layout.fit(files, [seeds(lines) for lines in files])
     for _ in range(rounds):
