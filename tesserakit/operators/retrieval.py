@@ -25,6 +25,11 @@ def ranked(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 
+def _first_ids(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of different ids, each with its id's greatest similarity."""
+    return rows.sort_values(["similarity", "id"], ascending=[False, True], na_position="first").drop_duplicates("id").head(k)
+
+
 def _similar(query: np.ndarray, k: int | None, least: float | None):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
@@ -41,9 +46,9 @@ def _similar(query: np.ndarray, k: int | None, least: float | None):
                 yield best
                 best = None
             elif len(best) > 4 * k + 1000:
-                best = best.sort_values(["similarity", "id"], ascending=[False, True]).head(k)
+                best = _first_ids(best, k)
         if best is not None:
-            yield best if k is None else best.sort_values(["similarity", "id"], ascending=[False, True]).head(k)
+            yield best if k is None else _first_ids(best, k)
 
     return run
 
@@ -51,15 +56,15 @@ def _similar(query: np.ndarray, k: int | None, least: float | None):
 def vector_search(chunks: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "embedding", min_score: float | None = None, where: Column | None = None) -> DataFrame:
     """rank, id and similarity (cosine, to 4 digits) of the k chunks most similar to ``query``; exact.
 
-    ``where`` is applied before the top k, ``min_score`` to the rounded similarity. Each partition keeps its own k best,
-    so a search moves k rows a partition. Chunks without a vector, with one of another length or of length zero are left
+    ``where`` is applied before the top k, ``min_score`` to the rounded similarity. Each partition keeps its own k best
+    ids, however often they are repeated, so a search moves k rows a partition. Chunks without a vector, with one of another length or of length zero are left
     out; ties go by id; an id that occurs twice counts once; an empty table gives no rows.
     """
     rows = chunks if where is None else chunks.filter(where)
     rows = rows.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).filter(F.size("v") == len(query)).filter(~F.exists("v", lambda x: x.isNull()))
     q = np.asarray(query, dtype=np.float64)
     norm = np.linalg.norm(q)
-    found = rows.mapInPandas(_similar(q / (norm or 1.0), None if k is None else 2 * k, min_score), "id string, similarity double")
+    found = rows.mapInPandas(_similar(q / (norm or 1.0), k, min_score), "id string, similarity double")
     return ranked(found.groupBy("id").agg(F.max("similarity").alias("similarity")), k, [F.desc("similarity"), F.asc("id")])
 
 

@@ -52,6 +52,13 @@ def test_vector_search_edges(spark):
     assert R.vector_search(chunks.limit(0), [1.0, 0.0], 5).count() == 0
 
 
+def test_copies_leave_room_for_other_ids(spark):
+    rows = [("a", [1.0, 0.0])] * 3000 + [(f"b{i}", [1.0, 0.1 * i]) for i in range(1, 6)]
+    for part in (rows, rows[::-1]):
+        chunks = spark.createDataFrame(part, "chunk_id string, embedding array<float>").coalesce(1)
+        assert [r["id"] for r in R.vector_search(chunks, [1.0, 0.0], 4).orderBy("rank").collect()] == ["a", "b1", "b2", "b3"]
+
+
 def test_fuse(spark):
     v = spark.createDataFrame([("a", 0.9), ("b", 0.5)], "id string, score double")
     k = spark.createDataFrame([("b", 4.0), ("c", 2.0)], "id string, score double")
