@@ -78,7 +78,7 @@ def _pack_vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             some = part.iloc[a : a + VECTORS]
             x = np.array([np.asarray(v, dtype=np.float64) for v in some["v"]])
             n = np.linalg.norm(x, axis=1)
-            good = n > 0
+            good = (n > 0) & np.isfinite(n)
             x = (x[good] / n[good, None]).astype(np.float64)
             yield pd.DataFrame({"ids": [some["id"][good].tolist()], "data": [x.tobytes()]})
 
@@ -88,14 +88,24 @@ def _best_of_blocks(k: int, size: int, itself: bool):
         for part in parts:
             for qi, qd, ci, cd in zip(part["q_ids"], part["q_data"], part["ids"], part["data"]):
                 q, c = (np.frombuffer(d, dtype=np.float64).reshape(-1, size) for d in (qd, cd))
+                if not len(q) or not len(c):
+                    continue
                 qi, ci = np.asarray(qi), np.asarray(ci)
-                sim = np.round(q @ c.T, 6)
+                order = np.argsort(ci, kind="stable")
+                ci, first = np.unique(ci[order], return_index=True)
+                sim = np.round(q @ c[order].T, 6)
+                if len(ci) < len(order):  # an id's copies count once, by the most similar
+                    sim = np.maximum.reduceat(sim, first, axis=1)
                 if not itself:
                     sim[qi[:, None] == ci[None, :]] = -np.inf
-                m = min(k + 8, len(ci))
-                top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                rows = np.repeat(np.arange(len(qi)), m)
-                out = pd.DataFrame({"query_id": qi[rows], "id": ci[top.ravel()], "similarity": sim[rows, top.ravel()]})
+                m = min(k, len(ci))
+                least = np.partition(sim, len(ci) - m, axis=1)[:, len(ci) - m]
+                rows, cols = np.nonzero(sim >= least[:, None])  # all ties at the cut, by row
+                best = np.lexsort((cols, -sim[rows, cols], rows))
+                rows, cols = rows[best], cols[best]  # columns are in order of ids
+                kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+                rows, cols = rows[kept], cols[kept]
+                out = pd.DataFrame({"query_id": qi[rows], "id": ci[cols], "similarity": sim[rows, cols]})
                 yield out[np.isfinite(out["similarity"])]
 
     return run
@@ -105,14 +115,16 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, size: int
     """query_id, rank, id and similarity: for every query (id, v) its k most similar rows of ``vectors`` (id, v); exact.
 
     Both sides are packed into blocks, and each pair of blocks is one matrix product, so rows are never paired one by
-    one; per query and block only the best go on. A vector's own id is left out unless ``itself``.
+    one; per query and block only the k best ids go on. Ties go by id; an id that occurs twice counts once, by its most
+    similar vector. A vector's own id is left out unless ``itself``.
     """
     pack = "ids array<bigint>, data binary"
     left = queries.select("id", "v").filter(F.size("v") == size).mapInPandas(_pack_vectors, pack).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
     right = vectors.select("id", "v").filter(F.size("v") == size).mapInPandas(_pack_vectors, pack)
     # a stated query set against all rows, block by block
     blocks = right.join(left, F.lit(True)).mapInPandas(_best_of_blocks(k, size, itself), "query_id bigint, id bigint, similarity double")
-    best = blocks.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "id")))).alias("best"))
+    once = blocks.repartition("query_id").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    best = once.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "id"))).alias("best"))
     found = best.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("at", "b"))
     return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.less")).alias("similarity"))
 

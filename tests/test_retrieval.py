@@ -112,3 +112,14 @@ def test_vector_many(spark):
         s = u @ u[q]
         s[q] = -9
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == list(np.argsort(-s)[:3])
+
+
+def test_vector_many_ties_and_copies(spark):
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    ties = [(0, east)] + [(i, east) for i in range(400, 0, -1)] + [(i, north) for i in range(401, 500)]
+    copies = [(0, east)] + [(7, east)] * 100 + [(9, [1.0, 0.1]), (8, [1.0, 0.2]), (7, north)]
+    for data, wanted in ((ties, [1, 2, 3]), (copies, [7, 9, 8])):
+        for parts in (1, 3):
+            rows = spark.createDataFrame(data, "id bigint, v array<float>").repartition(parts)
+            got = R.vector_search_many(rows, rows.filter("id = 0"), 3, 2).orderBy("rank").collect()
+            assert [(r["rank"], r["id"]) for r in got] == list(enumerate(wanted, 1))
