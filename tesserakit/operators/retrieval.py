@@ -263,15 +263,17 @@ def select_diverse(query: np.ndarray, vectors: np.ndarray, k: int, lam: float) -
 def mmr(hits: DataFrame, query: list[float], k: int, lam: float = 0.7, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """The k hits (id, rank, v) of each search that greedy maximal marginal relevance selects, with ``selected`` from 1.
 
-    A search's hits are the few it fetched, so one group is small by construction.
+    If any hit lacks a usable vector, the first k in order come out instead. A search's hits are the few it fetched, so
+    one group is small by construction.
     """
     by, q = by or [], np.asarray(query, dtype=np.float64)
     schema = ", ".join([*(f"`{c}` {dict(hits.dtypes)[c]}" for c in by), "id string", "selected int"])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order or ["rank"], kind="stable")
-        x = np.array([np.asarray(v, dtype=np.float64) for v in part["v"]])
-        pick = select_diverse(q, x, k, lam)
+        x = [np.asarray([] if v is None else v, dtype=np.float64) for v in part["v"]]
+        whole = all(v.shape == q.shape and np.isfinite(v).all() for v in x)
+        pick = select_diverse(q, np.array(x), k, lam) if whole else list(range(min(k, len(part))))
         out = part.iloc[pick][[*by, "id"]].copy()
         out["selected"] = np.arange(1, len(pick) + 1, dtype=np.int32)
         return out
@@ -323,8 +325,7 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchS
         hits = rerank(hits, query, "text", s.scorer)
     hits = ranked(hits, s.fetch_k, [F.desc("score"), F.asc("id")])
     if s.diversity:
-        whole = hits.filter(F.size("v") == len(vector))
-        chosen = mmr(whole, vector, s.top_k, s.lam)
+        chosen = mmr(hits, vector, s.top_k, s.lam)
         hits = hits.join(F.broadcast(chosen), "id").withColumn("rank", F.col("selected"))  # at most top_k rows
     else:
         hits = hits.filter(F.col("rank") <= s.top_k)

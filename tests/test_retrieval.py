@@ -96,6 +96,16 @@ def test_search_needs_vector_hits(spark):
     assert [(r["rank"], r["chunk_id"]) for r in found] == [(1, "f::chunk_0")]
 
 
+def test_diverse_search_keeps_hits_without_vector(spark):
+    rows = [("f::chunk_0", "f", 0, "alpha beta", None), *((f"f::chunk_{i}", "f", i, "gamma", [0.1 * i, 1.0]) for i in range(1, 5))]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source_file string, chunk_index int, text string, embedding array<double>")
+    settings = R.SearchSettings(top_k=2, min_score=0.0)
+    found = R.search(chunks, "alpha", [0.0, 1.0], settings).orderBy("rank").collect()
+    assert [(r["rank"], r["chunk_id"]) for r in found] == [(1, "f::chunk_0"), (2, "f::chunk_1")]
+    found = R.search(chunks.filter("chunk_index > 0"), "alpha", [0.0, 1.0], settings).orderBy("rank").collect()
+    assert [(r["rank"], r["chunk_id"]) for r in found] == [(1, "f::chunk_1"), (2, "f::chunk_2")]
+
+
 def test_tokens_like_split(spark):
     odd = "a\x1fb\u00a0c\u3000d  \t\n e\x85f \u2028G"
     got = spark.createDataFrame([(odd,), ("",), (None,)], "t string").select(X.tokens("t").alias("t")).collect()
