@@ -6,8 +6,9 @@ how words are written inside sentences. Each period is then classified by these
 first cut into blocks at blank lines and list marks; quotes and brackets that close again keep what
 they hold together; scripts without spaces or without end marks have their own rules.
 
-Counting is a map-side aggregation followed by one shuffle of the counts. The model has only words of
-a relative frequency of LEAST or more, so at most 1/LEAST a language, and is sent to every task.
+Counting is a map-side aggregation followed by one shuffle of the counts; words and pairs are scored
+there. The model, sent to every task, has what was accepted, and of the words common inside sentences
+those of a relative frequency of LEAST or more, so at most 1/LEAST a language.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spark_util import cut_lineage
 
-#: Least relative frequency of a word in the model; bounds its size.
+#: Least relative frequency of a word among the model's common ones; bounds their number.
 LEAST = 1e-5
 #: Stands before a word that begins small, among the sentence starters.
 SMALL = "~"
@@ -409,82 +410,83 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def _ratio(n_a: float, n_b: float, n_ab: float, n: float) -> float:
+def _ratio(n_a: Column, n_b: Column, n_ab: Column, n: Column) -> Column:
     """Dunning's log-likelihood ratio that b follows a more often than it otherwise does."""
 
-    def like(k: float, m: float, p: float) -> float:
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        return k * math.log(p) + (m - k) * math.log(1 - p)
+    def like(k: Column, m: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (m - k) * F.log(1 - p)
 
     p, p1 = n_b / n, n_ab / n_a
-    p2 = (n_b - n_ab) / max(n - n_a, 1e-9)
-    return -2 * (like(n_ab, n_a, p) + like(n_b - n_ab, n - n_a, p) - like(n_ab, n_a, p1) - like(n_b - n_ab, n - n_a, max(p2, 0)))
+    p2 = F.greatest((n_b - n_ab) / F.greatest(n - n_a, F.lit(1e-9)), F.lit(0.0))
+    return -2 * (like(n_ab, n_a, p) + like(n_b - n_ab, n - n_a, p) - like(n_ab, n_a, p1) - like(n_b - n_ab, n - n_a, p2))
 
 
-def _abbreviation(name: str, period: float, plain: float, n_periods: float, n: float) -> float:
+def _abbreviation(name: Column, period: Column, plain: Column, n_periods: Column, n: Column) -> Column:
     """Kiss and Strunk's score: how much a period belongs to the word, weighted for short words with periods that seldom lack one."""
-    p1, p2, total = n_periods / n, 0.99, period + plain
-    ratio = -2 * (period * math.log(p1) + plain * math.log(1 - p1) - period * math.log(p2) - plain * math.log(1 - p2))
-    inner = name.count(".") + 1
-    letters = len(name) - inner + 1
-    return ratio * math.exp(-letters) * inner * letters ** -min(plain, 300.0) if total else 0.0
-
-
-def build_models(words: pd.DataFrame, pairs: pd.DataFrame, totals: pd.DataFrame) -> dict[str, Model]:
-    """The languages' models from counts of words (lang, a, period, plain, lower, inside, n at a block's end) and of pairs across a period (lang, a, b, n)."""
-    models: dict[str, Model] = {}
-    for lang, n_all, n_periods in zip(totals["lang"], totals["n"], totals["periods"]):
-        if n_all < 20 or n_periods < 2:
-            continue
-        model = models[lang] = Model()
-        scale = min(1.0, REFERENCE / n_all)
-        own = words[words["lang"] == lang]
-        count = dict(zip(own["a"], own["period"] + own["plain"]))
-        closing_share = own["n"].sum() / max(1, own["period"].sum())
-        for name, period, plain, lower, inside, final in zip(own["a"], own["period"], own["plain"], own["lower"], own["inside"], own["n"]):
-            if name != "#" and period and any(c.isalpha() for c in name):
-                score = _abbreviation(name, period * scale, plain * scale, n_periods * scale, n_all * scale)
-                # without capitals, a word that ends blocks as often as any is a sentence's last
-                if score >= ABBREVIATION and not (lang in CASELESS and final / period > max(0.05, 0.5 * closing_share)):
-                    model.abbreviations.add(name)
-            if lower and inside <= 0.1 * lower:
-                model.common.add(name)
-        across = pairs[pairs["lang"] == lang]
-        closing = dict(zip(own["a"], own["period"]))
-        breaks, starts = 0, Counter()
-        for a, b, n in zip(across["a"], across["b"], across["n"]):
-            if a not in model.abbreviations and not (len(a) == 1 and a.isalpha()) and a != "#":
-                breaks += n
-                starts[b] += n
-        for b, n in starts.items():
-            n_b = max(count.get(b.removeprefix(SMALL), n), n)
-            if b != "#" and n / breaks > n_b / n_all and _ratio(breaks * scale, n_b * scale, n * scale, n_all * scale) >= STARTER:
-                model.starters.add(b)
-        for a, b, n in zip(across["a"], across["b"].str.removeprefix(SMALL), across["n"]):
-            n_a, n_b = max(closing.get(a, n), n), max(count.get(b, n), n)
-            if b in model.starters or n < 2:
-                continue
-            # with a number in front, or a word that no abbreviation is, the pair must hold most of the other's cases
-            special = a == "#" or b == "#" or a in model.abbreviations
-            if special and n / n_a > n_b / n_all and (b == "#" and n > 0.5 * n_a or b != "#" and n > 0.5 * n_b):
-                if _ratio(n_a * scale, n_b * scale, n * scale, n_all * scale) >= COLLOCATION:
-                    model.collocations.add((a, b))
-    return models
+    p1, p2 = n_periods / n, 0.99
+    ratio = -2 * (period * F.log(p1) + plain * F.log(1 - p1) - period * math.log(p2) - plain * math.log(1 - p2))
+    inner = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+    letters = F.length(name) - inner + 1
+    return ratio * F.exp(-letters) * inner * F.pow(letters.cast("double"), -F.least(plain, F.lit(300.0)))
 
 
 def learn(texts: DataFrame, text: str = "text") -> dict[str, Model]:
     """Models of all languages in ``texts``, from all of their rows.
 
-    Only words and pairs that make up LEAST of their language's words, at most 1/LEAST of them, come to the driver.
+    Words and pairs are scored where they are counted, starters over all pairs across a period; only accepted abbreviations,
+    starters and collocations come to the driver, and of ``common`` the words that make up LEAST of their language's.
     """
     rows = texts.select(F.col(text).alias("text")).filter(F.length("text") > 0)
     counts = rows.mapInPandas(_count, COUNTS).groupBy("lang", "a", "b").agg(*(F.sum(c).alias(c) for c in ("period", "plain", "lower", "inside", "n")))
     counts = cut_lineage(counts)
-    totals = counts.filter("b = ''").groupBy("lang").agg(F.sum(F.col("period") + F.col("plain")).alias("n"), F.sum("period").alias("periods"))
-    kept = counts.join(F.broadcast(totals.select("lang", F.col("n").alias("all"))), "lang")  # one row a language
-    kept = kept.filter(F.when(F.col("b") == "", F.col("period") + F.col("plain")).otherwise(F.col("n")) >= F.greatest(F.lit(2), F.col("all") * LEAST)).drop("all")
-    got = kept.toPandas()
-    return build_models(got[got["b"] == ""], got[got["b"] != ""], totals.toPandas())
+    every = F.col("period") + F.col("plain")
+    totals = counts.filter("b = ''").groupBy("lang").agg(F.sum(every).alias("all"), F.sum("period").alias("periods"), F.sum("n").alias("closing"))
+    totals = totals.filter("all >= 20 and periods >= 2").toPandas()  # one row a language
+    models = {lang: Model() for lang in totals["lang"]}
+    if not models:
+        return models
+    spark = texts.sparkSession
+    totals["scale"] = np.minimum(1.0, REFERENCE / totals["all"])
+    known = F.broadcast(spark.createDataFrame(totals, "lang string, all bigint, periods bigint, closing bigint, scale double"))
+    scale, n_all = F.col("scale"), F.col("all") * F.col("scale")
+
+    words = counts.filter("b = ''").drop("b").join(known, "lang")
+    score = _abbreviation(F.col("a"), F.col("period") * scale, F.col("plain") * scale, F.col("periods") * scale, n_all)
+    # without capitals, a word that ends blocks as often as any is a sentence's last
+    last = F.col("lang").isin(*CASELESS) & (F.col("n") / F.greatest(F.col("period"), F.lit(1)) > F.greatest(F.lit(0.05), 0.5 * F.col("closing") / F.col("periods")))
+    short = (F.col("a") != "#") & (F.col("period") > 0) & (every >= 2) & F.col("a").rlike(r"\p{L}") & (score >= ABBREVIATION) & ~last
+    common = (F.col("lower") > 0) & (F.col("inside") <= 0.1 * F.col("lower")) & (every >= F.greatest(F.lit(2), F.col("all") * LEAST))
+    for lang, a, is_short, is_common in words.select("lang", "a", F.coalesce(short, F.lit(False)).alias("short"), common.alias("common")).filter("short or common").collect():
+        if is_short:
+            models[lang].abbreviations.add(a)
+        if is_common:
+            models[lang].common.add(a)
+
+    accepted = spark.createDataFrame([(lang, a) for lang, m in models.items() for a in m.abbreviations], "lang string, a string")
+    pairs = counts.filter("b <> ''").select("lang", "a", "b", "n").join(known, "lang").join(F.broadcast(accepted.withColumn("short", F.lit(True))), ["lang", "a"], "left")
+    pairs = pairs.withColumn("following", F.regexp_replace("b", f"^{SMALL}", ""))
+    count = counts.filter("b = ''").select("lang", F.col("a").alias("following"), every.alias("count"))
+    open_ = F.col("short").isNull() & ~F.col("a").rlike(r"^\p{L}$") & (F.col("a") != "#")
+    starts = pairs.filter(open_).groupBy("lang", "b", "following", "all", "scale").agg(F.sum("n").alias("n"))
+    breaks = starts.groupBy("lang").agg(F.sum("n").alias("breaks"))  # one row a language
+    starts = starts.filter("b <> '#'").join(F.broadcast(breaks), "lang").join(count, ["lang", "following"], "left")
+    n, n_b = F.col("n"), F.greatest(F.col("count"), F.col("n"))
+    starts = starts.filter((n / F.col("breaks") > n_b / F.col("all")) & (_ratio(F.col("breaks") * scale, n_b * scale, n * scale, n_all) >= STARTER))
+    for lang, b in starts.select("lang", "b").collect():
+        models[lang].starters.add(b)
+
+    # with a number in front, or a word that no abbreviation is, the pair must hold most of the other's cases
+    special = pairs.filter((F.col("n") >= 2) & (F.col("short").isNotNull() | (F.col("a") == "#") | (F.col("following") == "#")))
+    starters = spark.createDataFrame([(lang, b) for lang, m in models.items() for b in m.starters], "lang string, following string")
+    special = special.join(F.broadcast(starters), ["lang", "following"], "left_anti")
+    special = special.join(count, ["lang", "following"], "left").join(counts.filter("b = ''").select("lang", "a", F.col("period").alias("ended")), ["lang", "a"], "left")
+    n_a = F.greatest(F.col("ended"), F.col("n"))
+    most = F.when(F.col("following") == "#", n > 0.5 * n_a).otherwise(n > 0.5 * n_b)
+    special = special.filter((n / n_a > n_b / F.col("all")) & most & (_ratio(n_a * scale, n_b * scale, n * scale, n_all) >= COLLOCATION))
+    for lang, a, b in special.select("lang", "a", "following").collect():
+        models[lang].collocations.add((a, b))
+    return models
 
 
 def _split(models: dict[str, Model]):

@@ -44,6 +44,15 @@ def test_learning(spark):
     assert "dog" in models["en"].common
 
 
+def test_starters_after_many_different_words(spark):
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "wort"
+
+    rows = [(i, f"The {name(i)}. Again the man is in the {name(i + 1000)}.") for i in range(1000)]
+    models = S.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert models["en"].starters == {"again"} and not models["en"].abbreviations
+
+
 def test_table(spark):
     long = "A sentence is here. " * 20_000
     rows = [(1, "One is. The two is.", "x"), (1, "One is. The two is.", "y"), (2, None, "x"), (3, "", "x"), (4, " ", "x"), (None, "A.", "x"), (5, long, "x")]
