@@ -36,10 +36,9 @@ def _seconds(column: str) -> F.Column:
 
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files there are now, with their times in whole seconds."""
-    stamp = F.unix_timestamp(F.to_timestamp(X.map_get("metadata", "file_modified_at"), "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    rows = _files(spark, sf_dir).filter("metadata['file_modified_at'] is not null")
-    return rows.select(F.col("source_path").alias("path"), stamp.alias("mtime_ns")).groupBy("path").agg(F.max("mtime_ns").alias("mtime_ns"))
+    """Files there are now, with their times in whole seconds, null where there is none."""
+    stamp = F.unix_timestamp(F.to_timestamp(F.nullif(X.map_get("metadata", "file_modified_at"), F.lit("")), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    return _files(spark, sf_dir).select(F.col("source_path").alias("path"), stamp.alias("mtime_ns")).groupBy("path").agg(F.max("mtime_ns").alias("mtime_ns"))
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:

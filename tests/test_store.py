@@ -80,3 +80,16 @@ def test_paths(spark):
     asked = table(spark, [("A\\b.MD",), ("b.md",), ("none",), ("ops/a/B.md",)], "asked string")
     assert {tuple(r) for r in store.resolve(asked, paths, ["ops", "docs"]).collect()} == {("A\\b.MD", "ops/a/B.md"), ("b.md", "docs/b.md"), ("ops/a/B.md", "ops/a/B.md")}
     assert [store.pages(n, 10) for n in (0, 1, 10, 11)] == [0, 1, 1, 2] and store.pages(5, 0) == 1
+
+
+def test_files_without_a_time_are_there(spark, tmp_path):
+    from tesserakit.plans import store_queries as Q
+
+    at = {"file_modified_at": "2024-01-01T00:00:00+00:00"}
+    files = [("same", at), ("no_time", {"format": "text"}), ("no_metadata", None), ("new_no_time", None)]
+    table(spark, files, "source_path string, metadata map<string,string>").write.parquet(str(tmp_path / "documents_parsed.parquet"))
+    known = [(p, 1_704_067_200_000_000_000, "h", 3, "") for p in ("same", "no_time", "no_metadata", "gone")]
+    table(spark, known, "path string, mtime_ns bigint, content_hash string, chunk_count int, last_indexed string").write.parquet(str(tmp_path / "manifest.parquet"))
+    changes = {r["path"]: r["change"] for r in Q.manifest_changes(spark, str(tmp_path)).collect()}
+    assert changes == {"no_time": "modified", "no_metadata": "modified", "new_no_time": "new", "gone": "removed"}
+    assert [tuple(r) for r in Q.manifest_upserted(spark, str(tmp_path)).select("files", "chunks").collect()] == [(5, 7)]
