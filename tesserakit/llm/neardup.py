@@ -45,6 +45,8 @@ BLOCK_CHARS = 4_000_000
 #: Words kept with their hashes by one Python process; a speed-up only.
 CACHE = 1_000_000
 BUCKETS = 64
+#: The greatest count that an outline holds; it stands for any from there on.
+FULL = 65_535
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
@@ -324,7 +326,8 @@ def _outlines(part: pd.DataFrame) -> pd.DataFrame:
     """Of each text, how many of its tokens that can be shared fall into each of some parts of the hash space."""
     heads, of, token, _ = _block(part)
     bucket = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(of * BUCKETS + bucket, minlength=len(heads) * BUCKETS).astype(np.uint16).reshape(-1, BUCKETS)
+    counts = np.bincount(of * BUCKETS + bucket, minlength=len(heads) * BUCKETS)
+    counts = np.minimum(counts, FULL).astype(np.uint16).reshape(-1, BUCKETS)
     return pd.DataFrame({"key": heads["at"].astype(np.int64) + part["block"].iloc[0], "doc": heads["doc"], "outline": pd.Series([c.tobytes() for c in counts], dtype=object)})
 
 
@@ -335,8 +338,9 @@ def _suffixes(t: float):
         for part in parts:
             if len(part):
                 x, y = (np.frombuffer(b"".join(part[c]), np.uint16).reshape(-1, BUCKETS) for c in ("outline_a", "outline_b"))
-                most = np.minimum(x, y).sum(axis=1)
-                part = part[most >= t / (1 + t) * (part["n_a"] + part["n_b"]) - 1e-6]
+                least = np.minimum(x, y)
+                enough = least.sum(axis=1) >= t / (1 + t) * (part["n_a"] + part["n_b"]) - 1e-6
+                part = part[enough | (least == FULL).any(axis=1)]  # a full part is no bound
             yield part[["doc_a", "doc_b"]]
 
     return run

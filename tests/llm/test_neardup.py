@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from tesserakit.llm import neardup as N
 
@@ -63,3 +65,14 @@ def test_empty(spark):
 
 def test_words():
     assert N.words("A-b c_d é१ नमस्ते ½x") == ["a", "b", "c", "d", "é१", "नमस्ते", "x"]
+
+
+def test_outlines_of_very_long_texts(monkeypatch):
+    heads = np.array([(0, 7)], dtype=[("at", np.int64), ("doc", np.int64)])
+    n = 70_000
+    monkeypatch.setattr(N, "_block", lambda part: (heads, np.zeros(n, np.int64), np.zeros(n, np.int64), None))
+    outline = N._outlines(pd.DataFrame({"block": [0]}))["outline"][0]
+    pair = pd.DataFrame({"doc_a": [7], "doc_b": [8], "n_a": [n], "n_b": [n], "outline_a": [outline], "outline_b": [outline]})
+    assert len(next(N._suffixes(0.8)(iter([pair])))) == 1
+    short = pd.DataFrame({"doc_a": [7], "doc_b": [8], "n_a": [n], "n_b": [n], "outline_a": [bytes(128)], "outline_b": [outline]})
+    assert len(next(N._suffixes(0.8)(iter([short])))) == 0
