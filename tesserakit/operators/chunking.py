@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,46 +65,74 @@ def sections(text: str, hint: str) -> list[Section]:
     return [(name, at, kept) for name, at, span in spans if (kept := span.strip())] or [("", 0, text)]
 
 
-def pack(text: str, size: int, level: int = 0) -> list[str]:
-    """Pieces of at most ``size``: as many parts as fit, parts that don't fit divided at the next finer separator."""
-    if len(text) <= size:
-        return [text]
-    if level == len(SEPARATORS):
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    out: list[str] = []
-    held = ""
-    for part in text.split(SEPARATORS[level]):
-        longer = held + SEPARATORS[level] + part if held else part
-        if len(longer) <= size:
-            held = longer
-            continue
-        if held:
-            out.append(held)
-        held = part if len(part) <= size else ""
-        if len(part) > size:
-            out += pack(part, size, level + 1)
-    return [*out, held] if held else out
+def spans(text: str, size: int) -> list[tuple[int, int]]:
+    """Where the pieces of a text begin and end, each at most ``size`` long.
+
+    A stretch that is too long is looked at through the places of the next finer separator: from a part that isn't empty, a
+    piece reaches to the last part that still ends within ``size``; a part too long by itself becomes a stretch of its own.
+    Separators at a piece's edge belong to no piece. Past the finest separator, windows of ``size``.
+    """
+    places = [np.array([m.start() for m in re.finditer(re.escape(mark), text)], dtype=np.int64) for mark in SEPARATORS] if len(text) > size else []
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(text), 0)]
+    while todo:
+        low, high, level = todo.pop()
+        if high - low <= size:
+            out.append((low, high))
+        elif level == len(SEPARATORS):
+            out += [(k, min(k + size, high)) for k in range(low, high, size)]
+        else:
+            width = len(SEPARATORS[level])
+            own = places[level][slice(*np.searchsorted(places[level], [low, high - width + 1]))]
+            begins, ends = np.r_[low, own + width], np.r_[own, high]
+            filled = np.flatnonzero(ends > begins)
+            inner, k = [], 0
+            while (j := int(np.searchsorted(filled, k))) < len(filled):
+                first = int(filled[j])
+                last = max(first, int(np.searchsorted(ends, begins[first] + size, side="right")) - 1)
+                inner.append((int(begins[first]), int(ends[last]), level + 1))
+                k = last + 1
+            todo += inner[::-1]
+    return out
+
+
+def pack(text: str, size: int) -> list[str]:
+    """The pieces of a text; see ``spans``."""
+    return [text[a:b] for a, b in spans(text, size)]
+
+
+def _placed(body: str, size: int) -> Iterator[tuple[int, str]]:
+    """The pieces of a section that aren't blank, and where each is taken to begin.
+
+    Fixed rule: a running position follows the pieces by their lengths, blank ones included. A piece begins at its first
+    occurrence from there on if that is no further ahead than the piece is long, else at the running position itself; so
+    places can fall behind where separators are long or text repeats.
+    """
+    at = 0
+    for piece in pack(body, size):
+        if piece.strip():
+            at = max(at, body.find(piece, at, at + 2 * len(piece)))
+            yield at, piece
+        at += len(piece)
 
 
 def chunk(text: str, source: str, title: str = "", hint: str = "", size: int = 1024, overlap: int = 128, extra: dict[str, str] | None = None) -> list[tuple]:
-    """Rows of SCHEMA for one document."""
+    """Rows of SCHEMA for one document.
+
+    Fixed rules: but for the document's first, a chunk's text begins ``overlap`` characters earlier in its section; places
+    are counted in the section's stripped text from where the section begins unstripped.
+    """
+    parts = sections(text, hint) if text.strip() else []
+    placed = [(heading, first, body, at, piece) for heading, first, body in parts if body.strip() for at, piece in _placed(body, size)]
     rows: list[tuple] = []
-    for heading, at, body in sections(text, hint) if text.strip() else []:
-        pos = 0
-        for piece in pack(body, size) if body.strip() else []:
-            if not piece.strip():
-                pos += len(piece)
-                continue
-            begin = body.find(piece, pos)
-            if begin < 0 or begin > pos + len(piece):
-                begin = pos
-            pos = begin + len(piece)
-            lead = max(0, begin - overlap) if rows else begin
-            shown = (body[lead:pos] if lead < begin else piece).strip()
-            context = "\n".join([*([f"Title: {title}"] if title else []), *([f"Section: {heading}"] if heading else [])])
-            meta = dict(extra or {}) | ({"section_heading": heading} if heading else {}) | ({"document_title": title} if title else {})
-            start = at + (max(0, begin - overlap) if max(0, begin - overlap) < begin else begin)
-            rows.append((f"{source}::chunk_{len(rows)}", source, len(rows), start, at + pos, f"{context}\n\n{shown}" if context else shown, meta))
+    for k, (heading, first, body, at, piece) in enumerate(placed):
+        begin, end = max(0, at - overlap), at + len(piece)
+        shown = body[begin:end] if k and begin < at else piece
+        named = {"section_heading": heading, "document_title": title}
+        lead = [f"{label}: {value}" for label, value in (("Title", title), ("Section", heading)) if value]
+        body_text = shown.strip()
+        whole = "\n".join([*lead, "", body_text]) if lead else body_text
+        rows.append((f"{source}::chunk_{k}", source, k, first + begin, first + end, whole, {**(extra or {}), **{n: v for n, v in named.items() if v}}))
     return rows
 
 

@@ -49,3 +49,16 @@ def test_table(spark):
     got = C.chunk_documents(docs).collect()
     assert [(r["chunk_id"], r["text"], r["metadata"]) for r in got] == [("a::chunk_0", "alpha beta", {})]
     assert C.chunk_documents(docs.limit(0)).collect() == []
+
+
+def test_running_position():
+    # a blank piece moves the position on; a piece further ahead than it is long is taken to begin at the position
+    rows = C.chunk("ab\n\n   \n\ncd", "f", size=3, overlap=0)
+    assert [(r[3], r[4], r[5]) for r in rows] == [(0, 2, "ab"), (5, 7, "cd")]
+    # offsets count in the stripped section from its unstripped start; the first chunk of a later section has no overlap
+    rows = C.chunk("# A\n\n\none\n# B\ntwo", "f", hint="markdown", size=50, overlap=2)
+    assert [(r[3], r[4]) for r in rows] == [(3, 6), (13, 16)] and rows[1][5].endswith("two")
+
+
+def test_long_text_without_recursion():
+    assert sum(map(len, C.pack("word " * 200_000, 1024))) <= 1_000_000
