@@ -1,3 +1,4 @@
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tesserakit.llm import splitting as S
@@ -53,3 +54,39 @@ def test_audit(spark, monkeypatch):
     inside = [*rows[:2], (*rows[2][:3], rows[2][3] - 2), ("f", 3, rows[2][3] - 12, rows[3][3]), *rows[4:]]
     assert check(inside) == [("f", 2), ("f", 3)]
     assert check([("h", 0, 0, 5), ("f", None, 0, 5), ("g", 0, 0, 5)]) == []
+
+
+def greedy_inside(text, limit, overlap):
+    out, p = [], 0
+    while p < len(text):
+        far = min(max(0, p - overlap) + limit, len(text))
+        ends = [e for e in range(p + 1, far + 1) if natural(text, e)]
+        p = max(ends) if ends else far
+        out.append(p)
+    return out
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(texts, max_size=5), st.integers(2, 30), st.data())
+def test_overlap_inside_the_limit(batch, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    assert [c.tolist() for c in S.cut_batch(batch, limit, overlap, True)] == [greedy_inside(t, limit, overlap) for t in batch]
+
+
+@settings(deadline=None, max_examples=300)
+@given(texts, st.lists(st.integers(-5, 260), max_size=12), st.integers(1, 30), st.sampled_from([3, 4_000_000]))
+def test_judged_like_the_terms_say(text, ends, limit, batch):
+    before = [0, *ends][: len(ends)]
+    want = []
+    for p, e in zip(before, ends):
+        stands = e > 0 and e <= len(text) and natural(text, e)
+        want.append(e - p > limit or not stands and any(natural(text, x) for x in range(max(p + 1, 1), min(e, len(text) + 1))))
+    low, high = min([*before, *ends, 0]), max([*before, *ends, 0])
+    n, clip = len(text), lambda x: max(0, min(x, len(text)))
+    part = pd.DataFrame([{"source_file": "f", "text": text[clip(low - 1) : clip(high + 1)], "skipped": clip(low - 1), "n": n, "cuts": [{"i": k, "s": max(0, p - 2), "e": e, "p": p} for k, (p, e) in enumerate(zip(before, ends))]}])
+    was, S.BATCH = S.BATCH, batch
+    try:
+        got = next(S._judge(limit, 2)(iter([part] if ends else [part.iloc[:0]])))["chunk_index"].tolist()
+    finally:
+        S.BATCH = was
+    assert got == [k for k, bad in enumerate(want) if bad]
