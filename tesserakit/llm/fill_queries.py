@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..spark_util import table
-from .mixing import mixture, quotas
+from .mixing import mixture, quotas, reached, short_of_share
 from .packing import CAPACITY, pack_texts
 
 
@@ -39,8 +39,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    return quotas(*_tables(spark, sf_dir)).filter("not reachable").select("source")
+    """Sources that cannot reach their share, by what the mixture got of them."""
+    return short_of_share(*_tables(spark, sf_dir))
 
 
 def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,9 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source, and how often its most used text is used."""
-    texts, targets = _tables(spark, sf_dir)
-    used = mixture(texts, targets).groupBy("source").agg(F.sum("n_tokens").alias("used"), (F.max("repeat") + 1).alias("times"))
-    total = used.agg(F.sum("used").alias("all_used"))
-    rows = targets.select("source", "target_share").distinct().join(used, "source", "left").crossJoin(F.broadcast(total))  # one row
-    used = F.coalesce("used", F.lit(0))
-    return rows.select("source", "target_share", used.alias("used"), F.coalesce(used / F.col("all_used"), F.lit(0.0)).alias("share"), F.coalesce("times", F.lit(0)).alias("times"))
+    rows = reached(*_tables(spark, sf_dir))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("used").alias("all_used"))))  # one row
+    return rows.select("source", "target_share", "used", F.coalesce(F.col("used") / F.col("all_used"), F.lit(0.0)).alias("share"), "times")
 
 
 QUERIES = {

@@ -93,3 +93,19 @@ def test_mixture_of_nothing(spark):
 def test_van_der_corput(spark):
     got = [r[0] for r in spark.range(6).select(M.van_der_corput(F.col("id"))).collect()]
     assert got == [0.0, 0.5, 0.25, 0.75, 0.125, 0.625]
+
+
+def test_no_two_sources_share_a_slot(spark):
+    docs = spark.createDataFrame([(i, "x" * 99, f"s{i % 7}") for i in range(700)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(f"s{i}", 1 / 7, 1) for i in range(7)], "source string, target_share double, max_repeats int")
+    got = M.mixture(docs, targets, block=300).collect()
+    of = {}
+    assert all(of.setdefault(r["slot"], r["source"]) == r["source"] for r in got) and sum(r["n_tokens"] for r in got) == 70_000
+
+
+def test_short_of_share(spark):
+    docs, targets, _ = inputs(spark)
+    got = {r["source"]: (r["used"], r["times"]) for r in M.reached(docs, targets).collect()}
+    assert got["none"] == (0, 0) and got["null"] == (0, 0) and got["small"][1] <= 3
+    want = {r["source"] for r in M.quotas(docs, targets).filter("not reachable").collect()}
+    assert {r[0] for r in M.short_of_share(docs, targets).collect()} == want and "none" in want
