@@ -6,14 +6,16 @@ order; with the rarest tokens first, few texts meet there. The stages, none of w
 than a block of texts or a range of token hashes in one task:
 
 1. ``_pack``: over the scan, without a shuffle, each block of texts becomes its tokens' hashes,
-   packed per range of the hash space (3 bytes a token).
+   packed per range of the hash space (3 bytes a token). A token that LOCAL texts of a block have
+   goes to its range once, with its count; which texts have it stays with the block.
 2. ``_count``: per range, the number of texts of every token, over all texts; tokens of one text
    only can never be shared and go no further. The rest go back to their block with a rarity code.
 3. ``_prefixes``: per block, each text's tokens rare-first; its prefix goes back to the ranges, packed.
    With prefixes longer by SHARED - 1, similar texts share SHARED tokens in them (or as many as they
    must have in common at all), so pairs that met by one chance token go no further.
 4. ``_pairs``: per range, the texts of each token are paired under the length and the positional filter.
-   Tokens of crowds of texts (``_hot``) take a join on the token instead, which can be divided.
+   Tokens of crowds of texts never enter a range: they take a join on token and length (``_crowds``),
+   which can be divided.
 5. ``_suffixes``: each distinct pair is held against histograms of the two token sets, whose lesser
    counts bound what the sets have in common, and then
 6. ``_verify``: once per pair, the exact similarity from the two texts.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,8 +43,10 @@ from pyspark.sql import types as T
 
 from ..spark_util import cut_lineage
 
-#: Characters of text that are packed together; bounds the memory of a task, not what is looked at.
-BLOCK_CHARS = 4_000_000
+#: Characters of text that are packed together and of a range of the hash space, in inputs of up to FEW characters. Both grow with
+#: the root of the input's size, up to GROWTH times, so that what a block has for a range stays worth a row. They bound the
+#: memory of a task, not what is looked at.
+BLOCK_CHARS, RANGE_CHARS, FEW, GROWTH = 4_000_000, 3_000_000, 2_000_000_000, 4.0
 #: Words kept with their hashes by one Python process; a speed-up only.
 CACHE = 1_000_000
 BUCKETS = 64
@@ -86,13 +91,15 @@ def tokens(text: str, length: int, least_words: int, salt: int) -> np.ndarray |
     return np.unique(out)
 
 
+_IN, _OUT = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _zip(*arrays: np.ndarray) -> bytes:
-    body = b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return _IN.compress(b"".join(a.tobytes() for a in arrays))
 
 
 def _unzip(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _OUT.decompress(data)
 
 
 PACKED = T.StructType(
@@ -110,6 +117,8 @@ HOT = "token long, key long, n int, pos int"
 OUTLINE = "key long, doc long, outline binary"
 #: Tokens that a pair must share in its prefixes, which are longer by one less.
 SHARED = 4
+#: A token of so many texts of a block is counted there.
+LOCAL = 4
 #: Texts with one token that one task pairs; a token of more goes through a join that can be divided.
 CROWD = 20_000
 #: Pairs held at once.
@@ -133,7 +142,38 @@ def _doc(ident: bytes) -> int:
     return int.from_bytes(ident[:8], "big", signed=True)
 
 
-def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
+@dataclass
+class Frame:
+    """What a block has in one range: texts with so many tokens each, the tokens by text (with codes), tokens counted in the block (with counts or codes)."""
+
+    who: np.ndarray
+    counts: np.ndarray
+    low: np.ndarray
+    code: np.ndarray
+    own_low: np.ndarray
+    own_count: np.ndarray
+
+    def pack(self) -> bytes:
+        sizes = np.array([len(self.who), len(self.low), len(self.own_low), len(self.code)], dtype=np.uint32)
+        step = np.diff(self.who, prepend=np.uint32(0)).astype(np.uint32)  # small numbers pack well
+        return _zip(sizes, step, self.counts.astype(np.uint32), self.own_count.astype(np.uint32), _three(self.low), _three(self.own_low), self.code.astype(np.uint8))
+
+    @staticmethod
+    def unpack(data: bytes) -> Frame:
+        body = _unzip(data)
+        d, n, q, c = np.frombuffer(body, np.uint32, 4).tolist()
+        numbers = np.frombuffer(body, np.uint32, 2 * d + q, 16)
+        at = 16 + 4 * (2 * d + q)
+        low, own = (_from_three(np.frombuffer(body, np.uint8, 3 * m, k)) for m, k in ((n, at), (q, at + 3 * n)))
+        return Frame(np.cumsum(numbers[:d], dtype=np.uint32), numbers[d : 2 * d], low, np.frombuffer(body, np.uint8, c, at + 3 * (n + q)), own, numbers[2 * d :])
+
+
+def _aside(block: int, ranges: int) -> int:
+    """A number below 0, in place of a range, for what a block keeps to itself."""
+    return -1 - block % ranges
+
+
+def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int, block_chars: int, local: int):
     def flush(docs: list[tuple[int, np.ndarray]], number: int) -> pd.DataFrame:
         heads = np.zeros(len(docs), dtype=HEAD)
         heads["at"] = np.arange(len(docs))
@@ -144,16 +184,33 @@ def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
         block = int(xxhash.xxh3_64_intdigest(heads.tobytes() + f"{task.partitionId() if task else 0} {number}".encode())) >> 2
         every = np.concatenate([t for _, t in docs])
         of = np.repeat(heads["at"], heads["n"])
-        bucket = ((every >> np.uint64(32)) % np.uint64(ranges)).astype(np.uint32)
+        token = (every >> np.uint64(32)) % np.uint64(ranges) << np.uint64(24) | every & np.uint64(0xFFFFFF)
+        ordered = np.sort(token)
+        crowded = np.unique(ordered[local - 1 :][ordered[local - 1 :] == ordered[: max(0, len(ordered) - local + 1)]])
+        rows = []
+        own_ends, own_count = np.zeros(ranges + 1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(crowded):
+            place = np.minimum(np.searchsorted(crowded, token), len(crowded) - 1)
+            counted = crowded[place] == token
+            order = np.argsort(place[counted], kind="stable")
+            own_count = np.bincount(place[counted], minlength=len(crowded))
+            rows.append((_aside(block, ranges), block, len(docs), b"", _zip(np.array([len(crowded)], dtype=np.uint64), crowded, own_count.astype(np.uint32), of[counted][order])))
+            token, of = token[~counted], of[~counted]
+            own_ends = np.searchsorted(crowded >> np.uint64(24), np.arange(ranges + 1))
+        bucket = (token >> np.uint64(24)).astype(np.uint16 if ranges <= 65_536 else np.uint32)
         order = np.argsort(bucket, kind="stable")  # by range, then text, then token
-        low, of, bucket = (every[order] & np.uint64(0xFFFFFF)).astype(np.uint32), of[order], bucket[order]
+        low, of, bucket = (token[order] & np.uint64(0xFFFFFF)).astype(np.uint32), of[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(ranges + 1))
-        home = heads["doc"].astype(np.uint64) % np.uint64(ranges)
-        rows = []
-        for r in range(ranges):
-            a, b = ends[r], ends[r + 1]
-            counts = np.bincount(of[a:b], minlength=len(docs)).astype(np.uint32)
-            rows.append((r, block, len(docs), _zip(heads[home == r]), _zip(counts, _three(low[a:b]))))
+        home = (heads["doc"].astype(np.uint64) % np.uint64(ranges)).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        home_ends = np.searchsorted(home[by_home], np.arange(ranges + 1))
+        used = np.flatnonzero((np.diff(ends) > 0) | (np.diff(own_ends) > 0) | (np.diff(home_ends) > 0))
+        none = np.zeros(0, dtype=np.uint8)
+        for r in used.tolist():
+            a, b, x, y = ends[r], ends[r + 1], own_ends[r], own_ends[r + 1]
+            first = np.flatnonzero(np.diff(of[a:b], prepend=-1)) if b > a else np.zeros(0, dtype=np.int64)
+            frame = Frame(of[a:b][first], np.diff(np.append(first, b - a)), low[a:b], none, (crowded[x:y] & np.uint64(0xFFFFFF)).astype(np.uint32), own_count[x:y])
+            rows.append((r, block, len(docs), _zip(heads[by_home[home_ends[r] : home_ends[r + 1]]]), frame.pack()))
         return pd.DataFrame(rows, columns=PACKED.fieldNames())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +226,7 @@ def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
                     continue
                 docs.append((doc, found))
                 size += len(text)
-                if size >= BLOCK_CHARS:
+                if size >= block_chars:
                     yield flush(docs, number)
                     docs, size, seen, number = [], 0, set(), number + 1
         if docs:
@@ -181,28 +238,34 @@ def _pack(salts: dict[str, int], length: int, least_words: int, ranges: int):
 def _count(part: pd.DataFrame) -> pd.DataFrame:
     """The tokens of one range that two texts or more have, back by block, with a code that grows with their number of texts.
 
-    A text that several blocks hold stays with the least of them: the digests of one range's texts meet here too.
+    A text that several blocks hold stays with the least of them: the digests of one range's texts meet here too. What
+    blocks keep to themselves passes through.
     """
-    rows, low_of, counts_of, heads_of = [], [], [], []
-    for docs, heads, data in zip(part["docs"], part["heads"], part["data"]):
-        body = _unzip(data)
-        counts_of.append(np.frombuffer(body, np.uint32, docs))
-        low_of.append(_from_three(np.frombuffer(body, np.uint8, -1, 4 * docs)))
-        heads_of.append(np.frombuffer(_unzip(heads), dtype=HEAD))
-    _, inverse, df = np.unique(np.concatenate(low_of), return_inverse=True, return_counts=True)
-    code = np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)[inverse]
+    if part["range"].iloc[0] < 0:
+        return part
+    frames = [Frame.unpack(data) for data in part["data"]]
+    heads_of = [np.frombuffer(_unzip(heads), dtype=HEAD) for heads in part["heads"]]
+    n = sum(len(f.low) for f in frames)
+    every = np.concatenate([f.low for f in frames] + [f.own_low for f in frames])
+    weight = np.concatenate([np.ones(n, dtype=np.int64), *(f.own_count for f in frames)])
+    _, inverse = np.unique(every, return_inverse=True)
+    df = np.bincount(inverse, weights=weight)
+    code = np.minimum(255, np.ceil(8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)[inverse]
     owner: dict[int, int] = {}
     for block, heads in zip(part["block"], heads_of):
         for doc in heads["doc"].tolist():
             owner[doc] = min(owner.get(doc, block), block)
-    at = 0
-    for r, block, docs, counts, low, heads in zip(part["range"], part["block"], part["docs"], counts_of, low_of, heads_of):
-        own = code[at : at + len(low)]
-        at += len(low)
+    rows, at, own_at = [], 0, n
+    for r, block, docs, f, heads in zip(part["range"], part["block"], part["docs"], frames, heads_of):
+        own = code[at : at + len(f.low)]
         kept = own > 0
-        of = np.repeat(np.arange(docs), counts)[kept]
+        of = np.repeat(np.arange(len(f.who)), f.counts)[kept]
+        counts = np.bincount(of, minlength=len(f.who))
+        crowded = code[own_at : own_at + len(f.own_low)]
+        at, own_at = at + len(f.low), own_at + len(f.own_low)
         mine = heads[[owner[d] == block for d in heads["doc"].tolist()]] if len(heads) else heads
-        rows.append((r, block, docs, _zip(mine), _zip(np.bincount(of, minlength=docs).astype(np.uint32), _three(low[kept]), own[kept])))
+        if len(mine) or kept.any() or len(crowded):
+            rows.append((r, block, docs, _zip(mine), Frame(f.who[counts > 0], counts[counts > 0], f.low[kept], own[kept], f.own_low, crowded).pack()))
     return pd.DataFrame(rows, columns=PACKED.fieldNames())
 
 
@@ -213,40 +276,55 @@ def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
 
 def _block(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one block: its own texts' heads, and text number, token and code of all tokens that can be shared."""
-    of, token, code, heads = [], [], [], []
-    for r, docs, head, data in zip(part["range"], part["docs"], part["heads"], part["data"]):
-        body = _unzip(data)
-        counts = np.frombuffer(body, np.uint32, docs)
-        m = int(counts.sum())
-        of.append(np.repeat(np.arange(docs), counts))
-        token.append(_from_three(np.frombuffer(body, np.uint8, 3 * m, 4 * docs)).astype(np.int64) | np.int64(r) << np.int64(32))
-        code.append(np.frombuffer(body, np.uint8, m, 4 * docs + 3 * m))
+    part = part.sort_values("range", kind="stable")
+    of, token, code, heads, crowded, aside = [], [], [], [np.zeros(0, dtype=HEAD)], [np.zeros(0, dtype=np.uint8)], None
+    for r, head, data in zip(part["range"], part["heads"], part["data"]):
+        if r < 0:
+            aside = _unzip(data)
+            continue
+        f = Frame.unpack(data)
+        of.append(np.repeat(f.who, f.counts))
+        token.append(f.low.astype(np.int64) | np.int64(r) << np.int64(24))
+        code.append(f.code)
+        crowded.append(f.own_count.astype(np.uint8))  # codes, on the way back; by range and token, as the block has them
         heads.append(np.frombuffer(_unzip(head), HEAD))
-    of, token, code, heads = map(np.concatenate, (of, token, code, heads))
+    if aside is not None:
+        q = int(np.frombuffer(aside, np.uint64, 1)[0])
+        times = np.frombuffer(aside, np.uint32, q, 8 + 8 * q)
+        of.append(np.frombuffer(aside, np.uint32, -1, 8 + 12 * q))
+        token.append(np.repeat(np.frombuffer(aside, np.int64, q, 8), times))
+        code.append(np.repeat(np.concatenate(crowded), times))
+    of, token, code, heads = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (of, token, code, heads))
     number = np.full(int(part["docs"].iloc[0]), -1)
     number[heads["at"]] = np.arange(len(heads))
     own = number[of] >= 0
     return heads, number[of[own]], token[own], code[own]
 
 
-def _prefixes(t: float):
+def _prefixes(t: float, ranges: int, crowd: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         heads, of, token, code = _block(part)
         n = heads["n"].astype(np.int64)
         order = np.lexsort((token, code, of))
-        of, token = of[order], token[order]
+        of, token, code = of[order], token[order], code[order]
         shared = np.bincount(of, minlength=len(n))
         # tokens of no other text are the rarest and stand in front
         pos = np.arange(len(of)) - np.repeat(np.cumsum(shared) - shared, shared) + (n - shared)[of]
         kept = pos < prefix_size(n, t)[of] + SHARED - 1
-        of, token, pos = of[kept], token[kept], pos[kept]
+        of, token, pos, code = of[kept], token[kept], pos[kept], code[kept]
         order = np.argsort(token, kind="stable")
-        of, token, pos = of[order], token[order], pos[order]
-        ranges = token >> 32
-        block = part["block"].iloc[0]
+        of, token, pos, code = of[order], token[order], pos[order], code[order]
+        block = int(part["block"].iloc[0])
         rows = []
-        for r in np.unique(ranges).tolist():
-            own = slice(*np.searchsorted(ranges, [r, r + 1]))
+        hot = code > np.floor(8 * np.log2(crowd))  # of more texts than ``crowd``, or nearly
+        if hot.any():
+            who = of[hot]
+            columns = token[hot], heads["at"][who].astype(np.int64) + block, heads["n"][who].astype(np.int64), pos[hot].astype(np.int64)
+            rows.append((_aside(block, ranges), block, _zip(*columns)))
+            of, token, pos = of[~hot], token[~hot], pos[~hot]
+        where = token >> 24
+        for r in np.unique(where).tolist():
+            own = slice(*np.searchsorted(where, [r, r + 1]))
             who = of[own]
             columns = heads["at"][who], heads["n"][who], pos[own].astype(np.uint32)
             rows.append((r, block, _zip(_three(token[own] & 0xFFFFFF), *(np.ascontiguousarray(c) for c in columns))))
@@ -284,9 +362,10 @@ def _pairs(t: float):
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        if part["range"].iloc[0] < 0:
+            return pd.DataFrame({c.split()[0]: np.zeros(0, dtype=np.int64) for c in PAIRS.split(", ")})
         low, key, n, pos, end = _range(part)
-        start = np.searchsorted(low, low)
-        later = np.where(end - start <= CROWD, end - np.arange(len(low)) - 1, 0)
+        later = end - np.arange(len(low)) - 1
         total = np.cumsum(later)
         found, first = [], 0
         while first < len(low):
@@ -316,10 +395,28 @@ def _pairs(t: float):
 
 
 def _hot(part: pd.DataFrame) -> pd.DataFrame:
-    """The texts of tokens that more have than one task should pair."""
-    low, key, n, pos, end = _range(part)
-    hot = end - np.searchsorted(low, low) > CROWD
-    return pd.DataFrame({"token": low[hot].astype(np.int64) | np.int64(part["range"].iloc[0]) << np.int64(32), "key": key[hot], "n": n[hot], "pos": pos[hot]})
+    """The texts of crowds' tokens, one row each; a range has none."""
+    aside = [np.frombuffer(_unzip(data), np.int64).reshape(4, -1) for data in part["data"]] if part["range"].iloc[0] < 0 else []
+    return pd.DataFrame(np.concatenate([np.zeros((4, 0), dtype=np.int64), *aside], axis=1).T, columns=["token", "key", "n", "pos"])
+
+
+def _crowds(hot: DataFrame, t: float) -> DataFrame:
+    """Pairs of the texts of crowds' tokens, as of ``_pairs``.
+
+    Lengths fall into classes, each reaching as far as similar lengths may differ, so a text meets those of its own class and
+    the next only; the join's key is token and class, which AQE can divide further.
+    """
+    size = (F.floor(F.log(F.col("n")) / F.lit(-1.000001 * math.log(t))) if t < 1 else F.col("n")).cast("long")
+    classed = hot.withColumn("class", size)
+    a, b = (classed.select("token", "class", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos"))) for s in "ab")
+    need = F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    # the shorter one, a, is of the longer one's class or the class before
+    b = b.withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
+    pairs = a.join(b, ["token", "class"]).filter((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    pairs = pairs.filter(F.col("n_a") >= F.lit(t) * F.col("n_b") - 1e-6).filter(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need - (SHARED - 1))
+    turned = F.col("key_a") > F.col("key_b")
+    columns = [F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("key", "n") for x, y in (("a", "b"), ("b", "a"))]
+    return pairs.select(*columns, F.lit(1).alias("c"))
 
 
 def _outlines(part: pd.DataFrame) -> pd.DataFrame:
@@ -383,10 +480,11 @@ def texts_with_ids(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "key", "text", digest().alias("id")).filter("kind is not null and key is not null and length(text) > 0")
 
 
-def _ranges(rows: DataFrame) -> int:
-    """Ranges of the hash space: so many that one holds about half a million tokens, whatever the input's size."""
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Ranges of the hash space (a power of two) and characters of a block, by the input's size; see BLOCK_CHARS."""
     size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    return 1 << min(18, max(2, math.ceil(math.log2(max(1, size) / 3e6))))
+    growth = min(GROWTH, max(1.0, math.sqrt(size / FEW)))
+    return 1 << max(2, math.ceil(math.log2(max(1, size) / (RANGE_CHARS * growth)))), round(BLOCK_CHARS * growth)
 
 
 def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -396,20 +494,13 @@ def similar_texts(rows: DataFrame, kinds: list[str], length: int = 5, threshold:
     ``rows`` has kind, key, text and id, as of ``texts_with_ids``; kinds are compared only within themselves.
     """
     salts = {k: i + 1 for i, k in enumerate(kinds)}
-    packed = rows.select("kind", "id", "text").mapInPandas(_pack(salts, length, least_words, _ranges(rows)), PACKED)
+    ranges, block_chars = _sizes(rows)
+    packed = rows.select("kind", "id", "text").mapInPandas(_pack(salts, length, least_words, ranges, block_chars, LOCAL), PACKED)
     blocks = packed.groupBy("range").applyInPandas(_count, PACKED).groupBy("block")
-    rare = blocks.applyInPandas(_prefixes(threshold), RARE).groupBy("range")
-    hot = rare.applyInPandas(_hot, HOT)
-    a, b = (hot.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos"))) for s in "ab")
+    rare = blocks.applyInPandas(_prefixes(threshold, ranges, CROWD), RARE).groupBy("range")
     need = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    crowds = (
-        a.join(b, "token")
-        .filter("key_a < key_b")
-        .filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-6)
-        .filter(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need - (SHARED - 1))
-        .select("key_a", "key_b", "n_a", "n_b", F.lit(1).alias("c"))
-    )
-    pairs = rare.applyInPandas(_pairs(threshold), PAIRS).unionByName(crowds).groupBy("key_a", "key_b", "n_a", "n_b").agg(F.sum("c").alias("c"))
+    pairs = rare.applyInPandas(_pairs(threshold), PAIRS).unionByName(_crowds(rare.applyInPandas(_hot, HOT), threshold))
+    pairs = pairs.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     pairs = pairs.filter(F.col("c") >= F.least(F.lit(float(SHARED)), need)).select("key_a", "key_b", "n_a", "n_b")
     outlines = blocks.applyInPandas(_outlines, OUTLINE)
     copied = rows.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select(first_half("id").alias("doc"))

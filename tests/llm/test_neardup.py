@@ -76,3 +76,29 @@ def test_outlines_of_very_long_texts(monkeypatch):
     assert len(next(N._suffixes(0.8)(iter([pair])))) == 1
     short = pd.DataFrame({"doc_a": [7], "doc_b": [8], "n_a": [n], "n_b": [n], "outline_a": [bytes(128)], "outline_b": [outline]})
     assert len(next(N._suffixes(0.8)(iter([short])))) == 0
+
+
+@pytest.mark.parametrize(("crowd", "local", "chars"), [(3, 2, 300), (1, 4, 10**9), (20_000, 2, 1)])
+def test_crowds_and_counts_in_blocks(spark, monkeypatch, crowd, local, chars):
+    # a common stretch in all texts, so that its tokens are a crowd's and counted in the blocks
+    monkeypatch.setattr(N, "CROWD", crowd)
+    monkeypatch.setattr(N, "LOCAL", local)
+    monkeypatch.setattr(N, "BLOCK_CHARS", chars)
+    rng = random.Random(crowd)
+    common = " ".join(WORDS[:25])
+    rows = [("a", f"k{i}", f"{common} " + " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows += [("a", f"m{i}", f"{common} tail{i % 4}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "kind string, key string, text string").repartition(3)
+    for k, t in ((3, 0.6), (2, 1.0)):
+        assert {tuple(r) for r in N.near_duplicates(frame, ["a"], k, t).collect()} == by_hand(rows, k, t, 0)
+
+
+def test_a_row_for_what_there_is(monkeypatch):
+    # rows between blocks and ranges are at most the tokens, however many ranges there are
+    rng = np.random.default_rng(0)
+    texts = [(i, np.unique(rng.integers(0, 2**63, 50, dtype=np.int64).astype(np.uint64))) for i in range(20)]
+    monkeypatch.setattr(N, "tokens", lambda text, *_: dict(texts)[int(text)])
+    part = pd.DataFrame({"kind": "a", "id": [i.to_bytes(16, "little") for i, _ in texts], "text": [str(i) for i, _ in texts]})
+    for ranges in (4, 1 << 20):
+        packed = pd.concat(N._pack({"a": 1}, 3, 0, ranges, 10**9, 4)(iter([part])))
+        assert len(packed) <= min(ranges, 20 * 51) and sum(len(N.Frame.unpack(d).low) for d in packed["data"]) == 1000
