@@ -2,7 +2,7 @@
 
 First-fit decreasing, with the open containers' free space in a tournament tree: every inner node
 holds the larger of its children, so the first container with room enough is found on one path from
-the root. Groups of texts drawn by a hash of their key are packed independently; each is large enough
+the root. Groups of texts and parts drawn by a hash are packed independently; each is large enough
 for its last containers not to matter, and no group grows with the collection. Only keys and sizes
 are shuffled, never texts. A text larger than a container is cut first: into full containers and a rest.
 """
@@ -111,7 +111,9 @@ def pack_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", capaci
         "doc_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start_char"), F.length("text").cast("long").alias("end_char"), size.alias("n_tokens")
     )
     items = whole.unionByName(rows.filter(size > capacity).mapInPandas(_cut(capacity), PARTS))
-    groups = max(1, round(texts.count() / GROUP))
-    grouped = items.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("int"))
+    parts = rows.agg(F.sum(F.ceil(size / F.lit(float(capacity))))).first()[0] or 0
+    groups = max(1, round(int(parts) / GROUP))
+    # the parts of one text go to groups of their own, so a text of any length fills none alone
+    grouped = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", "n_tokens", F.lit(seed)), F.lit(groups)).cast("int"))
     placed = grouped.groupBy("group").applyInPandas(_pack(capacity), PLACED)
     return placed.withColumn("container", F.concat_ws(":", "group", "bin")).drop("group", "bin")

@@ -109,3 +109,11 @@ def test_short_of_share(spark):
     assert got["none"] == (0, 0) and got["null"] == (0, 0) and got["small"][1] <= 3
     want = {r["source"] for r in M.quotas(docs, targets).filter("not reachable").collect()}
     assert {r[0] for r in M.short_of_share(docs, targets).collect()} == want and "none" in want
+
+
+def test_parts_of_a_giant_text_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 50)
+    docs = spark.createDataFrame([(1, "x" * 100_000), (2, "y")], "doc_id bigint, text string")
+    got = P.pack_texts(docs, capacity=100).collect()
+    groups = Counter(r["container"].split(":")[0] for r in got)
+    assert len(got) == 1002 and len(groups) == 20 and max(groups.values()) < 100
