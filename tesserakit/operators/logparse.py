@@ -3,8 +3,10 @@
 A deterministic character-level scanner turns a line into tokens (digit runs, letter runs, blanks,
 quoted strings, single delimiters). Entry grammars, each a short sequence of elements, then read
 the head of the line from those tokens; the first grammar that accepts assigns the fields. A line
-no grammar accepts is looked at by the lookahead state of the entry before it, which attaches it as
-a continuation. Nothing depends on the program that wrote the file: one file may mix layouts.
+no grammar accepts continues the entry before it. One that a grammar accepts may still be part of
+the entry before it: lookahead states (``Lookahead``) decide by brackets left open, indentation
+around the line and the order of times. Nothing depends on the program that wrote the file: one
+file may mix layouts.
 
 One row in, its entries out: the work is a ``mapInPandas`` over the pruned columns and needs no
 shuffle, so it scales with the input and no file's entries ever wait for another's.
@@ -13,7 +15,10 @@ shuffle, so it scales with the input and no file's entries ever wait for another
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +39,9 @@ TIME_KEYS = {"ts", "time", "timestamp", "@timestamp", "t", "datetime", "date", "
 LEVEL_KEYS = {"level", "lvl", "severity", "loglevel", "levelname", "log.level", "priority"}
 NAME_KEYS = {"component", "logger", "name", "module", "program", "service", "app", "logger_name", "log.logger", "source"}
 TEXT_KEYS = {"msg", "message", "event", "text"}
+# Names of weekdays and, by number, what syslog calls a severity.
+WEEKDAYS = {"mon", "tue", "wed", "thu", "fri", "sat", "sun"}
+SEVERITIES = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG"]
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 DIGIT, ALPHA, BLANK, QUOTE, MARK, END = "digits", "letters", "blank", "quoted", "mark", "end"
@@ -124,6 +132,13 @@ def _clock(s: Scanner, k: int, marks: str = ":") -> tuple[int, int, int, int] |
     return h, m, x, k
 
 
+def _half_day(s: Scanner, clock: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """A clock of twelve hours, if AM or PM follows, as one of twenty-four."""
+    h, m, x, k = clock
+    half = s.token(k + 1)[1].upper() if s.token(k)[0] == BLANK else ""
+    return (h % 12 + 12 * (half == "PM"), m, x, k + 2) if half in ("AM", "PM") and 1 <= h <= 12 else clock
+
+
 def _zone(s: Scanner, k: int) -> tuple[int, int]:
     """Minutes east of UTC and the next token; no zone is UTC."""
     kind, text, _ = s.token(k)
@@ -161,8 +176,9 @@ def _month(s: Scanner, k: int) -> int | None:
 def read_time(s: Scanner, k: int, year: int) -> tuple[dt.datetime, int, bool] | None:
     """A date with a time of day from token k on: UTC moment, next token, whether the year was missing.
 
-    A date alone is no entry's time. Reads ISO dates, y/m/d, d.m.y and m/d/y-free forms, day/month-name/year
-    with a colon, month-name day, packed yyyymmdd-hhmmss and epoch seconds or milliseconds.
+    A date alone is no entry's time. Reads ISO dates, y/m/d, d.m.y, m/d/y (d/m/y where only that is a date) with an
+    optional AM or PM, yy/mm/dd, day/month-name/year with a colon, month-name day, weekday month-name day time year,
+    packed yyyymmdd-hhmmss and epoch seconds or milliseconds.
     """
     kind, text, _ = s.token(k)
     if kind == DIGIT:
@@ -182,6 +198,16 @@ def read_time(s: Scanner, k: int, year: int) -> tuple[dt.datetime, int, bool] |
                 zone, end = _zone(s, clock[3])
                 if at := _moment(y, mo, int(text), clock, zone):
                     return at, end, False
+        elif n in (1, 2) and _mark(s, k + 1, "/") and s.token(k + 2)[0] == DIGIT and _mark(s, k + 3, "/"):
+            b, c = _number(s, k + 2, 1, 2), s.token(k + 4)[1]
+            if b and c.isdigit() and len(c) in (2, 4) and (s.token(k + 5)[0] == BLANK or _mark(s, k + 5, ",") and s.token(k + 6)[0] == BLANK):
+                x = int(text)
+                y, mo, d = (2000 + x, b, int(c)) if len(c) == 2 else (int(c), x, b) if x <= 12 else (int(c), b, x)
+                if clock := _clock(s, k + 6 + _mark(s, k + 5, ",")):
+                    clock = _half_day(s, clock)
+                    zone, end = _zone(s, clock[3])
+                    if at := _moment(y, mo, d, clock, zone):
+                        return at, end, False
         elif n in (1, 2) and (_mark(s, k + 1, "/-") or s.token(k + 1)[0] == BLANK) and (mo := _month(s, k + 2)):
             y = _number(s, k + 4, 4)
             if y and (s.token(k + 5)[0] == BLANK or _mark(s, k + 5, ":T")) and (clock := _clock(s, k + 6)):
@@ -199,6 +225,11 @@ def read_time(s: Scanner, k: int, year: int) -> tuple[dt.datetime, int, bool] |
             if n == 10 and _mark(s, k + 1, ".") and s.token(k + 2)[0] == DIGIT:
                 k += 2
             return dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(text[:10])), k + 1, False
+    elif kind == ALPHA and text.lower() in WEEKDAYS and s.token(k + 1)[0] == BLANK and (mo := _month(s, k + 2)):
+        d, clock = _number(s, k + 4, 1, 2), _clock(s, k + 6)
+        if d and clock and s.token(clock[3])[0] == BLANK and (y := _number(s, clock[3] + 1, 4)):
+            if at := _moment(y, mo, d, clock):
+                return at, clock[3] + 2, False
     elif kind == ALPHA and (mo := _month(s, k)) and len(text) == 3 and s.token(k + 1)[0] == BLANK:
         d = _number(s, k + 2, 1, 2)
         if d and s.token(k + 3)[0] == BLANK:
@@ -231,8 +262,24 @@ def _level(s: Scanner, k: int) -> tuple[str, int] | None:
 
 
 #: Entry grammars, in order of trial. T time, L level, N name, H host, P process or line number, B the letter of a
-#: level joined to month and day; "_" one or more blanks; anything else is itself. "?" follows an optional element.
+#: level joined to month and day, C the clock behind it; K a time of day alone, on the file's date; S a syslog priority, which
+#: states a level; A anything without blanks or brackets; W a numbered thread's name; D a dotted name; Q a quoted string;
+#: "_" one or more blanks; anything else is itself.
 GRAMMARS = [
+    "< S > P _ T _ A _ N _ A _ A _",
+    "< S > P _ T _ A _ A _ A _ A _",
+    "< S > T _ H _ N [ P ] :",
+    "< S > T _ H _ N :",
+    "A _ A _ A _ [ T ] _ Q",
+    "[ T ] _ [ N : L ]",
+    "T _ [ W ] _ L _ D _ - _",
+    "T _ [ W ] _ L _ D :",
+    "T _ L _ [ W ] _ D _ - _",
+    "T _ L _ [ W ] _ D :",
+    "T _ L _ P _ - - - _ [ A ] _ N _ :",
+    "T _ L _ P _ - - - _ [ _ A ] _ N _ :",
+    "K _ [ A ] _ L _ N _ - _",
+    "K _ L _ N _ - _",
     "T _ - _ N _ - _ L _ - _",
     "T _ - _ L _ - _ N _ - _",
     "T _ | _ L _ | _ N _ | _",
@@ -288,7 +335,21 @@ GRAMMARS = [
 GRAMMARS = [g.split() for g in GRAMMARS]
 
 
-def _apply(grammar: list[str], s: Scanner, year: int, times: dict) -> tuple[dt.datetime, str, str, int] | None:
+def _run(s: Scanner, k: int) -> tuple[str, int]:
+    """What stands without blanks or brackets from token k on, and the next token."""
+    first = s.start(k)
+    while s.token(k)[0] not in (BLANK, END) and not _mark(s, k, "[]<>"):
+        k += 1
+    return s.line[first : s.start(k)], k
+
+
+def _numbered(name: str) -> bool:
+    """Whether a name is a thread's of a pool: it ends in a number behind a hyphen."""
+    head, hyphen, number = name.rpartition("-")
+    return bool(head and hyphen and number.isdigit() and head[0].isalpha())
+
+
+def _apply(grammar: list[str], s: Scanner, year: int, times: dict, day: tuple[int, int] = (1, 1)) -> tuple[dt.datetime, str, str, int] | None:
     k, at, level, name = 0, None, "", ""
     month_day = 0
     for part in grammar:
@@ -298,7 +359,24 @@ def _apply(grammar: list[str], s: Scanner, year: int, times: dict) -> tuple[dt.d
             if times[k] is None:
                 return None
             at, k, yearless = times[k]
-            if "H" in grammar and not yearless and "[" not in grammar:
+            if "H" in grammar and not yearless and "[" not in grammar and "S" not in grammar:
+                return None
+        elif part == "K":
+            if (clock := _clock(s, k)) is None or (at := _moment(year, *day, clock)) is None:
+                return None
+            k = clock[3]
+        elif part == "S":
+            number = _number(s, k, 1, 2, 3)
+            if number is None or number > 191:
+                return None
+            level, k = SEVERITIES[number % 8], k + 1
+        elif part in ("A", "W"):
+            got = _run(s, k)
+            if not got[0] or part == "W" and not _numbered(got[0]):
+                return None
+            k = got[1]
+        elif part == "Q":
+            if s.token(k)[0] != QUOTE:
                 return None
         elif part == "_":
             if s.token(k)[0] != BLANK:
@@ -308,10 +386,10 @@ def _apply(grammar: list[str], s: Scanner, year: int, times: dict) -> tuple[dt.d
             if (got := _level(s, k)) is None:
                 return None
             level, k = got
-        elif part in ("N", "H"):
-            if (got := _name(s, k)) is None:
+        elif part in ("N", "H", "D"):
+            if (got := _name(s, k)) is None or part == "D" and "." not in got[0]:
                 return None
-            if part == "N":
+            if part != "H":
                 name = got[0]
             k = got[1]
         elif part == "P":
@@ -433,50 +511,138 @@ def _structured(s: Scanner, year: int) -> tuple[dt.datetime, str, str, str] | No
     return got[0], level, named[0] if named else name, of(TEXT_KEYS)
 
 
-def read_entry(line: str, year: int) -> tuple[str, str, str, str] | None:
-    """The time, level, component and first message line of an entry that begins here; None for a continuation."""
+#: The number of a structured line's layout, besides those of the grammars.
+STRUCTURED = -1
+
+
+def read_head(line: str, year: int, day: tuple[int, int] = (1, 1)) -> tuple[int, dt.datetime, str, str, str] | None:
+    """The layout's number, time, level, component and first message line of an entry that may begin here; None for none."""
     if not line or line[0] in " \t":
         return None
     s = Scanner(line)
     if got := _structured(s, year):
-        at, level, name, text = got
-        return at.strftime("%Y-%m-%d %H:%M:%S"), level, name, text
+        return STRUCTURED, *got
     times: dict = {}
-    for grammar in GRAMMARS:
-        if got := _apply(grammar, s, year, times):
+    for number, grammar in enumerate(GRAMMARS):
+        if got := _apply(grammar, s, year, times, day):
             at, level, name, end = got
-            return at.strftime("%Y-%m-%d %H:%M:%S"), level, name, line[end:].strip()
+            return number, at, level, name, line[end:].strip()
     return None
 
 
-def parse_text(text: str, year: int) -> list[tuple[int, str, str, str, str, int]]:
+def read_entry(line: str, year: int, day: tuple[int, int] = (1, 1)) -> tuple[str, str, str, str] | None:
+    """The time, level, component and first message line of an entry that begins here; None for a continuation."""
+    got = read_head(line, year, day)
+    return got and (got[1].strftime("%Y-%m-%d %H:%M:%S"), *got[2:])
+
+
+#: So far the clocks of programs that share a file may differ.
+SKEW = dt.timedelta(hours=1)
+CLOSING = {"{": "}", "[": "]", "(": ")"}
+
+
+class Lookahead:
+    """Decides whether a line that a grammar accepts begins an entry or continues the one before it.
+
+    The state is the entry's head and the bracket that a line of it ended in and nothing has closed. These attach a line:
+
+    * an open bracket: the line has another layout than the entry's head, and a line that begins with the closing bracket
+      comes before the next line of that layout;
+    * times out of order: the line is but a time and text, no other line of the file has its layout, the head states a level
+      or component, and the line's time lies outside those of the head and of the next line that states one, which are in
+      order. Programs that share a file needn't agree on the time, so it must lie outside by more than SKEW,
+    * unless there is indentation: between indented lines, as within a trace, any time out of order will do.
+    """
+
+    def __init__(self, lines: list[str], heads: dict[int, tuple]):
+        self.lines, self.heads = lines, heads
+        self.open = ""
+
+    @cached_property
+    def closings(self) -> dict[str, list[int]]:
+        """Line numbers by the closing bracket that the line begins with."""
+        out: dict[str, list[int]] = defaultdict(list)
+        for k, line in enumerate(self.lines):
+            if (first := line.lstrip(" \t")[:1]) in CLOSING.values():
+                out[first].append(k)
+        return out
+
+    @cached_property
+    def by_layout(self) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = defaultdict(list)
+        for k, head in self.heads.items():
+            out[head[0]].append(k)
+        return out
+
+    @cached_property
+    def stating(self) -> list[int]:
+        """Numbers of the lines whose head states a level or a component."""
+        return [k for k, head in self.heads.items() if head[2] or head[3]]
+
+    @staticmethod
+    def _next(numbers: list[int], k: int) -> int | None:
+        at = bisect_right(numbers, k)
+        return numbers[at] if at < len(numbers) else None
+
+    def read(self, k: int) -> None:
+        """Takes in a line of the entry: what it leaves open or closes."""
+        line = self.lines[k].rstrip(" \t")
+        if self.open and line.lstrip(" \t")[:1] == self.open:
+            self.open = ""
+        if line[-1:] in CLOSING:
+            self.open = CLOSING[line[-1]]
+
+    def begins(self, k: int) -> None:
+        """A new entry begins: nothing is open but by this line."""
+        self.open = ""
+        self.read(k)
+
+    def _indented(self, k: int, step: int) -> bool:
+        return 0 <= k + step < len(self.lines) and self.lines[k + step][:1] in (" ", "\t") and bool(self.lines[k + step].strip(" \t"))
+
+    def continues(self, k: int, head: int) -> bool:
+        """Whether line k continues the entry that begins at line ``head``."""
+        own, first = self.heads[k], self.heads[head]
+        if self.open and own[0] != first[0]:
+            end, same = self._next(self.closings.get(self.open, []), k), self._next(self.by_layout[first[0]], k)
+            if end is not None and (same is None or end < same):
+                return True
+        if own[2] or own[3] or len(self.by_layout[own[0]]) > 1 or not (first[2] or first[3]):
+            return False
+        after = self._next(self.stating, k)
+        last = self.heads[after][1] if after is not None else None
+        if last is not None and last < first[1]:
+            return False
+        skew = dt.timedelta(0) if self._indented(k, -1) and self._indented(k, 1) else SKEW
+        return own[1] < first[1] - skew or last is not None and own[1] > last + skew
+
+
+def parse_text(text: str, year: int, day: tuple[int, int] = (1, 1)) -> list[tuple[int, str, str, str, str, int]]:
     """All entries of one file: line number, time, level, component, message, number of lines."""
-    out: list[tuple[int, str, str, str, str, int]] = []
-    head, body, last = None, [], 0
-
-    def close() -> None:
-        if head is not None:
-            n, (ts, level, name, first) = head
-            kept = body[: last - n]
-            out.append((n, ts, level, name, "\n".join([first, *kept]), last - n + 1))
-
-    for n, line in enumerate(text.split("\n"), 1):
-        line = line.rstrip("\r")
-        got = read_entry(line, year)
-        if got is not None:
-            close()
-            head, body, last = (n, got), [], n
-        elif head is not None:
-            body.append(line)
-            if line.strip(" \t"):
-                last = n
-    close()
+    lines = [line.rstrip("\r") for line in text.split("\n")]
+    heads = {k: got for k, line in enumerate(lines) if (got := read_head(line, year, day)) is not None}
+    ahead = Lookahead(lines, heads)
+    starts: list[int] = []
+    for k in range(min(heads, default=len(lines)), len(lines)):
+        if k in heads and not (starts and ahead.continues(k, starts[-1])):
+            starts.append(k)
+            ahead.begins(k)
+        else:
+            ahead.read(k)
+    out = []
+    for first, end in zip(starts, [*starts[1:], len(lines)]):
+        last = next(k for k in range(end - 1, first - 1, -1) if k == first or lines[k].strip(" \t"))
+        _, at, level, name, message = heads[first]
+        out.append((first + 1, at.strftime("%Y-%m-%d %H:%M:%S"), level, name, "\n".join([message, *lines[first + 1 : last + 1]]), last - first + 1))
     return out
 
 
-def _year(stamp: object) -> int:
+def _date(stamp: object) -> tuple[int, tuple[int, int]]:
+    """Year, and month and day, of an ISO time; 1970 and the first of January where they are missing."""
     text = str(stamp or "")
-    return int(text[:4]) if text[:4].isdigit() and text[:4] > "0000" else 1970
+    year = int(text[:4]) if text[:4].isdigit() and text[:4] > "0000" else 1970
+    month, day = (int(x) if x.isdigit() else 1 for x in (text[5:7], text[8:10]))
+    return year, (month, day) if 1 <= month <= 12 and 1 <= day <= 31 else (1, 1)
 
 
 def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,7 +651,7 @@ def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, text, stamp in zip(part["source_path"], part["text"], part["stamp"]):
             if text is not None:
-                rows += [(path, *entry) for entry in parse_text(text, _year(stamp))]
+                rows += [(path, *entry) for entry in parse_text(text, *_date(stamp))]
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -497,7 +663,7 @@ def parse_logs(files: DataFrame, path: str = "source_path", text: str = "text",
     n_lines (to the last line that isn't blank before the next entry).
 
     A null or empty text gives no rows, as do lines before the first entry. A null map or one without
-    ``file_modified_at`` makes a missing year 1970. Files that occur twice, word for word, are parsed once; other columns
+    ``file_modified_at`` makes a missing year 1970 (and a missing date the first of January). Files that occur twice, word for word, are parsed once; other columns
     of ``files`` are ignored, whatever their names. A table without rows gives none.
     """
     pruned = files.select(F.col(path).alias("source_path"), F.col(text).alias("text"), F.col(metadata)["file_modified_at"].alias("stamp"))

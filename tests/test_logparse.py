@@ -54,3 +54,40 @@ def test_table_edge_cases(spark):
     got = sorted(parse_logs(files).select("source_path", "entry_ts", "n_lines").collect(), key=lambda r: str(r[0]))
     assert [tuple(r) for r in got] == [(None, "2025-01-01 00:00:00", 1), ("a.log", "2023-01-01 00:00:00", 1), ("m.log", "1970-01-01 00:00:00", 1)]
     assert parse_logs(files.limit(0)).collect() == [] and parse_logs(files).schema == SCHEMA
+
+
+LAYOUTS = {
+    '127.0.0.1 - frank [10/Oct/2000:13:55:36 -0700] "GET /a HTTP/1.0" 200 2326': ("2000-10-10 20:55:36", "", ""),
+    "[Fri Sep 09 10:42:29.902022 2011] [core:error] [pid 35708:tid 432] [client 72.15.99.187] File missing": ("2011-09-09 10:42:29", "ERROR", "core"),
+    "[Wed Oct 11 14:32:52 2000] [error] [client 127.0.0.1] denied": ("2000-10-11 14:32:52", "ERROR", ""),
+    "<34>1 2003-10-11T22:14:15.003Z mymachine.example.com su - ID47 - failed for x": ("2003-10-11 22:14:15", "FATAL", "su"),
+    '<165>1 2003-08-24T05:14:15.000003-07:00 192.0.2.1 evntslog 8710 - [a@1 b="c"] started': ("2003-08-24 12:14:15", "INFO", "evntslog"),
+    "<35>Oct 11 22:14:15 mymachine su[77]: failed": ("2024-10-11 22:14:15", "ERROR", "su"),
+    "17/06/09 20:10:40 INFO executor.Executor: Running task": ("2017-06-09 20:10:40", "INFO", "executor.Executor"),
+    "01/31/2024 11:02:03 PM ERROR Store.Disk: full": ("2024-01-31 23:02:03", "ERROR", "Store.Disk"),
+    "31/01/2024 12:02:03 WARN disk: full": ("2024-01-31 12:02:03", "WARN", "disk"),
+    "2024-03-01 10:00:00.123  INFO 1234 --- [           main] o.s.b.Application   : Started": ("2024-03-01 10:00:00", "INFO", "o.s.b.Application"),
+    "2024-03-01 10:00:00,123 [pool-2-thread-7] WARN  com.foo.Bar - slow": ("2024-03-01 10:00:00", "WARN", "com.foo.Bar"),
+    "10:15:30.123 [main] DEBUG com.foo.Bar - started": ("2024-05-06 10:15:30", "DEBUG", "com.foo.Bar"),
+}
+
+
+@pytest.mark.parametrize("line", LAYOUTS)
+def test_other_layouts(line):
+    assert read_entry(line, 2024, (5, 6))[:3] == LAYOUTS[line]
+
+
+def test_lookahead():
+    head, after = "2024-01-15 10:00:00 ERROR store: no backup", "2024-01-15 10:00:05 INFO store: up"
+    late = "2024-01-14 09:00:00 was the last good backup"
+    got = parse_text("\n".join([head, late, "more", after]), 2024)
+    assert [(e[0], e[5]) for e in got] == [(1, 3), (4, 1)] and got[0][4] == f"no backup\n{late}\nmore"
+    # in order, or one of several of its layout, it is an entry
+    assert len(parse_text("\n".join([head, "2024-01-15 10:00:03 plain", after]), 2024)) == 3
+    assert len(parse_text("\n".join([head, late, after, "2024-01-15 10:00:06 plain"]), 2024)) == 4
+    # between indented lines a little out of order is enough
+    assert [e[0] for e in parse_text("\n".join([head, "  at a", "2024-01-15 09:59:59 seen", "  at b", after]), 2024)] == [1, 5]
+    # within an open bracket, up to the line that closes it
+    dump = ["2024-01-15 10:00:00 INFO store: payload {", "time=2024-01-15T10:00:01Z level=debug msg=x", "}", after]
+    assert [(e[0], e[5]) for e in parse_text("\n".join(dump), 2024)] == [(1, 3), (4, 1)]
+    assert [e[0] for e in parse_text("\n".join([*dump[:2], after]), 2024)] == [1, 2, 3]
