@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -183,13 +184,34 @@ class Bm25Index:
         gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         if self.postings is not None:
             return self._saved_scores(times, gain)
-        hit = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, times)))) if words else self.source.limit(0)
-        tf = hit.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(list(times)))).alias("term"))
-        tf = tf.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-        wanted = self.terms.sparkSession.createDataFrame(list(times.items()), "term string, times int")
-        weighted = F.broadcast(self.terms.select("term", "idf").join(F.broadcast(wanted), "term"))  # as many rows as the query has words
-        rows = tf.join(weighted, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))  # one row
-        return rows.groupBy("id").agg(F.round(F.sum(F.col("times") * F.col("idf") * gain), 6).alias("score"))
+        return self._fresh_scores(times)
+
+    def _fresh_scores(self, times: dict[str, int]) -> DataFrame:
+        """Scores without saved postings: one aggregate over the corpus for its size and the query's words, one scan for the texts.
+
+        The vocabulary is counted only if a word's idf is negative and so needs its mean. Nothing is shuffled but sums.
+        """
+        words = list(times)
+        if not words:
+            return self.source.limit(0).select("id", F.lit(0.0).alias("score"))
+        held = F.array_intersect("tokens", F.array(*map(F.lit, words)))
+        found = self.source.select(F.size("tokens").alias("dl"), held.alias("held"))
+        sums = [F.coalesce(F.sum(F.array_contains("held", w).cast("long")), F.lit(0)).alias(f"w{k}") for k, w in enumerate(words)]
+        n, avgdl, *df = found.agg(F.count("*"), F.avg("dl"), *sums).first()
+        raw = [math.log(n - d + 0.5) - math.log(d + 0.5) for d in df]
+        low = EPSILON * self.terms.agg(F.avg("raw_idf")).first()[0] if any(d and r < 0 for d, r in zip(df, raw)) else 0.0
+        weights = [F.struct(F.lit(w).alias("w"), F.lit(times[w] * (r if r >= 0 else low)).alias("x")) for w, d, r in zip(words, df, raw) if d]
+        if not weights:
+            return self.source.limit(0).select("id", F.lit(0.0).alias("score"))
+        damp = K1 * (1 - B + B * F.size("tokens") / F.lit(float(avgdl or 1.0)))
+
+        def gain(total: Column, word: Column) -> Column:
+            tf = F.size(F.filter("mine", lambda t: t == word["w"]))
+            return total + word["x"] * tf * (K1 + 1) / (tf + damp)
+
+        mine = F.filter("tokens", lambda t: t.isin(words))
+        rows = self.source.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, words)))).withColumn("mine", mine)
+        return rows.select("id", F.round(F.aggregate(F.array(*weights), F.lit(0.0), gain), 6).alias("score"))
 
     def _saved_scores(self, times: dict[str, int], gain: Column) -> DataFrame:
         """Scores from saved postings: the few words' weights are read first, then their postings, in their folders only."""
@@ -309,24 +331,30 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchS
     selection; the k best where diversity is off or a vector is missing), and the final score cut at min_score.
     """
     s = settings or SearchSettings()
-    keyed = chunks.dropDuplicates(["chunk_id"])
-    found = vector_search(chunks, vector, s.fetch_k, min_score=s.min_score_threshold).select("id", F.col("similarity").alias("score"))
-    best = found
-    if s.hybrid:
-        index = index or Bm25Index.of(keyed, "chunk_id")
-        words = bm25_search(index, query, s.fetch_k).select("id", "score")
-        best = fuse(found, words, s.alpha).join(F.broadcast(found.select(F.count("*").alias("n"))), F.col("n") > 0).drop("n")  # one row
-        best = best.orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k)
-    # at most fetch_k rows
-    hits = keyed.join(F.broadcast(best.withColumnRenamed("id", "chunk_id")), "chunk_id").select(
-        F.col("chunk_id").alias("id"), "source_file", "chunk_index", "text", F.col("embedding").alias("v"), "score"
-    )
+    spark = chunks.sparkSession
+    scored = "id string, score double"
+
+    def few(rows: DataFrame) -> DataFrame:
+        """At most fetch_k rows, as a table of one partition, on which nothing is shuffled."""
+        return spark.createDataFrame(rows.select("id", "score").collect(), scored).coalesce(1)
+
+    found = few(vector_search(chunks, vector, s.fetch_k, min_score=s.min_score_threshold).withColumnRenamed("similarity", "score"))
+    if s.hybrid and not found.isEmpty():
+        index = index or Bm25Index.of(chunks.dropDuplicates(["chunk_id"]), "chunk_id")
+        found = fuse(found, few(bm25_search(index, query, s.fetch_k)), s.alpha)
+        found = few(found.orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k))
+    scores = {r["id"]: r["score"] for r in found.collect()}
+    columns = ["source_file", "chunk_index", "text", "embedding"]
+    # the ids go down to the scan; of rows with one id the greatest counts, those with a vector first
+    rows = chunks.filter(F.col("chunk_id").isin(list(scores))).select(F.col("chunk_id").cast("string").alias("id"), *columns).repartition(1)
+    best = F.max(F.struct(F.col("embedding").isNotNull().alias("has"), *columns)).alias("best")
+    hits = rows.groupBy("id").agg(best).select("id", *(F.col(f"best.{c}").alias(c) for c in columns)).join(found, "id").withColumnRenamed("embedding", "v")
     if s.reranking:
         hits = rerank(hits, query, "text", s.scorer)
     hits = ranked(hits, s.fetch_k, [F.desc("score"), F.asc("id")])
     if s.diversity:
         chosen = mmr(hits, vector, s.top_k, s.lam)
-        hits = hits.join(F.broadcast(chosen), "id").withColumn("rank", F.col("selected"))  # at most top_k rows
+        hits = hits.join(chosen, "id").withColumn("rank", F.col("selected"))
     else:
         hits = hits.filter(F.col("rank") <= s.top_k)
     least = s.min_score if s.min_score is not None else s.min_score_threshold

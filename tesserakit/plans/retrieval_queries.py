@@ -212,6 +212,23 @@ fused AS (SELECT coalesce(vn.id, kn.id) AS id, coalesce(v, 0) AS v, coalesce(b,
 """
 
 
+def _greedy(rows: str, by: str, k: int) -> str:
+    """Greedy selection among rows (r, e, picks) per ``by``: chosen (r, turn). Each step holds, of every row, how near the chosen ones come and when it was chosen."""
+    key, same = (f"{by}, ", f"AND a.{by} = b.{by}") if by else ("", "")
+    part = f"PARTITION BY {by} " if by else ""
+    back = f"AND n.{by} = {{0}}.{by}" if by else ""
+    return f"""
+near AS (SELECT {"a." + key if by else ""}a.r AS x, b.r AS y, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-10) * (sqrt(list_dot_product(b.e, b.e)) + 1e-10)) AS s FROM {rows} a JOIN {rows} b ON a.picks AND b.picks {same}),
+rel AS (SELECT {key}r, list_dot_product(e, qe) / ((sqrt(list_dot_product(e, e)) + 1e-10) * (sqrt(list_dot_product(qe, qe)) + 1e-10)) AS rel FROM {rows}, q WHERE picks),
+steps AS (
+  SELECT 0 AS step, {key}r, rel, CAST(0 AS DOUBLE) AS nearest, CAST(NULL AS INTEGER) AS turn FROM rel
+  UNION ALL
+  SELECT step + 1, {"w." + key if by else ""}r, rel, CASE WHEN step = 0 THEN s ELSE greatest(nearest, s) END, CASE WHEN r = pick THEN step + 1 ELSE turn END
+  FROM (SELECT *, first_value(r) OVER ({part}ORDER BY turn IS NOT NULL, 0.7 * rel - 0.3 * nearest DESC, r) AS pick FROM steps WHERE step < {k}) w JOIN near n ON n.x = pick AND n.y = r {back.format("w")}),
+chosen AS (SELECT {key}r, turn FROM steps WHERE step = {k} AND turn IS NOT NULL)
+"""
+
+
 SQL = {
     "bm25_topk": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id AS doc_id, score FROM (SELECT * FROM scores ORDER BY score DESC, id LIMIT 20) WHERE score > 0",
     "bm25_scores": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT id AS doc_id, score FROM scores",
@@ -235,6 +252,24 @@ again AS (SELECT DISTINCT id, source_file, chunk_index, round(1 / (1 + exp(-(6.0
 top AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, * FROM again)
 SELECT rank, id AS chunk_id, source_file, chunk_index, round(score, 4) AS score FROM top WHERE rank <= 10 AND score >= 0.15
 """,
+    "search_diverse": "WITH RECURSIVE " + _VECTORS + "," + _bm25_sql(_ONE, "chunk_id") + "," + _side_sql(40, "WHERE similarity >= 0.15") + f""",
+best AS (SELECT id FROM fused ORDER BY round(0.7 * v + 0.3 * b, 6) DESC, id LIMIT 40),
+again AS (SELECT chunk_id AS id, text, source_file, chunk_index, max(CAST(embedding AS DOUBLE[])) AS e,
+          round(1 / (1 + exp(-(6.0 * len(list_intersect(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), [{_WORDS}])) / 5 - 3))), 6) AS score
+          FROM best JOIN chunks ON chunk_id = id GROUP BY ALL),
+cand AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS r, again.*, count(*) OVER () > 10 AND bool_and(coalesce(len(e), 0) = 96) OVER () AS picks FROM again),
+"""
+    + _greedy("cand", "", 10)
+    + """
+SELECT CAST(selected AS INTEGER) AS rank, id AS chunk_id, source_file, chunk_index, round(score, 4) AS score, text
+FROM (SELECT cand.*, CASE WHEN picks THEN s.turn ELSE cand.r END AS selected FROM cand LEFT JOIN chosen s ON s.r = cand.r) WHERE selected <= 10 AND score >= 0.15
+""",
+    "mmr_select": "WITH RECURSIVE " + _VECTORS + """,
+cand AS (SELECT row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, query_id, chunk_id AS id, CAST(e0 AS DOUBLE[]) AS e, count(*) OVER (PARTITION BY query_id) > 5 AS picks
+         FROM (SELECT query_id, rank, chunk_id, any_value(embedding) AS e0 FROM hits WHERE len(embedding) = 96 GROUP BY 1, 2, 3)),
+"""
+    + _greedy("cand", "query_id", 5)
+    + "SELECT cand.query_id, id, CAST(CASE WHEN picks THEN s.turn ELSE cand.r END AS INTEGER) AS selected FROM cand LEFT JOIN chosen s ON s.r = cand.r AND s.query_id = cand.query_id WHERE NOT picks OR s.turn IS NOT NULL",
     "rerank_hits": f"""
 SELECT query_id, rank, round(1 / (1 + exp(-(6.0 * len(list_intersect(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), [{_WORDS}])) / 5 - 3))), 6) AS score
 FROM (SELECT DISTINCT query_id, rank, text FROM hits WHERE text IS NOT NULL)
