@@ -8,7 +8,7 @@ import tempfile
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from .operators.retrieval import SearchSettings
-from .sources.formats import EXTENSIONS
+from .sources.formats import FORMAT_OF
 
 
 @dataclass(frozen=True)
@@ -18,7 +18,7 @@ class Settings:
     embedding_model: str = "hashed-words"
     chunk_size: int = 1024
     chunk_overlap: int = 128
-    supported_extensions: tuple[str, ...] = field(default_factory=lambda: tuple(EXTENSIONS))
+    supported_extensions: tuple[str, ...] = field(default_factory=lambda: tuple(sorted(FORMAT_OF)))
     reranking_enabled: bool = True
     hybrid_search_enabled: bool = True
     hybrid_search_alpha: float = 0.7

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..spark_util import by_value
 
 
 class Backend(Protocol):
@@ -40,13 +41,23 @@ class HashedWords:
 
 
 BACKENDS: dict[str, Callable[[], Backend]] = {"hashed-words": HashedWords}
-_LOADED: dict[str, Backend] = {}
+_LOADED: dict[str, tuple[object, Backend]] = {}
+
+
+def register(name: str, factory: Callable[[], Backend]) -> None:
+    """Adds a backend, or replaces one: what makes it goes to the workers with each plan, and each of them makes it once."""
+    BACKENDS[name] = factory
 
 
 def backend(name: str) -> Backend:
-    if name not in _LOADED:
-        _LOADED[name] = BACKENDS[name]()
-    return _LOADED[name]
+    """A backend in this process."""
+    return _made(name, BACKENDS[name], BACKENDS[name])
+
+
+def _made(name: str, token: object, factory: Callable[[], Backend]) -> Backend:
+    if name not in _LOADED or _LOADED[name][0] != token:
+        _LOADED[name] = token, factory()
+    return _LOADED[name][1]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -56,10 +67,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def embed(text: str | Column, name: str = "hashed-words", prefix: str = "", batch: int = 512) -> Column:
     """Vectors of length 1 of texts (zero for texts without words), with the model's prefix in front; null and blank texts as one blank."""
+    factory = by_value(BACKENDS[name])
+    token = f"{name} {id(factory)}"
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = backend(name)
+        model = _made(name, token, factory)
         for part in parts:
             texts = (prefix + part).tolist()
             vectors = [unit(model.embed(texts[a : a + batch])) for a in range(0, len(texts), batch)]

@@ -64,4 +64,4 @@ def language_of(path: str | Column) -> Column:
 
 
 def supported(path: str | Column) -> Column:
-    return suffix(_c(path)).isin(EXTENSIONS)
+    return suffix(_c(path)).isin(sorted(FORMAT_OF))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import formats, markup, skip
+from . import formats, markup, parsers, skip
 
 SCHEMA = "source_path string, text string, title string, format_hint string, metadata map<string,string>"
 
@@ -24,15 +24,16 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("path", F.col("modificationTime").alias("modified_at"), "length", "content")
 
 
-def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from . import parsers
+def _parse(plugged: dict[str, parsers.Parser], hooks: dict[str, Callable[[bytes], str]]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, kind, data, stamp in zip(part["path"], part["kind"], part["content"], part["stamp"]):
+                text, title, hint, meta = parsers.parse(path.rpartition("/")[2], kind, bytes(data or b""), plugged, hooks)
+                rows.append((path, text, title, hint, {**meta, "file_modified_at": stamp or ""}))
+            yield pd.DataFrame(rows, columns=["source_path", "text", "title", "format_hint", "metadata"])
 
-    for part in parts:
-        rows = []
-        for path, kind, data, stamp in zip(part["path"], part["kind"], part["content"], part["stamp"]):
-            text, title, hint, meta = parsers.parse(path.rpartition("/")[2], kind, bytes(data or b""))
-            rows.append((path, text, title, hint, {**meta, "file_modified_at": stamp or ""}))
-        yield pd.DataFrame(rows, columns=["source_path", "text", "title", "format_hint", "metadata"])
+    return run
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     expressions. A file that can't be read comes out with empty text and parse_error in its metadata.
     """
     stamp = F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    raw = files.select("path", formats.format_of("path").alias("kind"), "content", stamp.alias("stamp")).filter("kind is not null").mapInPandas(_parse, SCHEMA)
+    raw = files.select("path", formats.format_of("path").alias("kind"), "content", stamp.alias("stamp")).filter("kind is not null").mapInPandas(_parse(*parsers.carried()), SCHEMA)
     kind, name = F.col("metadata")["format"], X.file_name("source_path")
     heading = markup.markdown_title("text")
     named = X.title_case(F.translate(X.stem("source_path"), "-_", "  "))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
+import sysconfig
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +24,19 @@ def on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+def by_value(plugged: object) -> object:
+    """``plugged``, a function or class of the user's, so that closures carry its code to the workers.
+
+    Code of installed packages is found there by name; that of a script or a module of the user's own needn't be.
+    """
+    module = sys.modules.get(getattr(plugged, "__module__", None) or type(plugged).__module__)
+    file = os.path.abspath(getattr(module, "__file__", None) or "")
+    installed = [sysconfig.get_paths()[k] for k in ("stdlib", "purelib", "platlib")] + [os.path.dirname(os.path.abspath(__file__))]
+    if module is not None and module.__name__ != "__main__" and file and not file.startswith(tuple(d + os.sep for d in installed)):
+        cloudpickle.register_pickle_by_value(module)
+    return plugged
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     on_workers(spark)
