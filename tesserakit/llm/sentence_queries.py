@@ -11,7 +11,7 @@ from .sentences import split_sentences
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every text."""
-    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_char", "end_char")
+    return split_sentences(table(spark, sf_dir, "documents"), lang="lang").select("doc_id", "start_char", "end_char")
 
 
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,25 @@ def test_table(spark):
     assert got[got.doc_id == 1][["start_char", "end_char"]].values.tolist() == [[0, 7], [8, 19]]
     assert (got.doc_id == 5).sum() == 20_000 and set(got.doc_id.dropna()) == {1, 5} and got.doc_id.isna().sum() == 1
     assert S.split_sentences(docs.limit(0)).count() == 0
+
+
+def test_a_language_outside_the_lists(spark):
+    it = ["Il dott. Rossi vide il cane nella sala.", "Quando il cane corse via lui lo vide.", "Era il giorno del cane con il dott. Bianchi nella sala.", "Però il giorno era lungo."]
+    pl = ["Pies i kot są w domu.", "Kiedy pies biegł to kot spał.", "Dzień był długi a kot był w domu.", "Jest tam pies i nie ma kota."]
+    rows = [(i, " ".join((it, pl)[i % 2][(i // 2 + k) % 4] for k in (0, 1, 3)), ("it-IT", "PL", None, "it", "pl_PL", "pl", "it", "pl")[i % 8]) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = S.learn(docs, lang="lang")
+    assert {"il", "cane"} <= models.profiles["it"] and {"pies", "kot"} <= models.profiles["pl"]
+    assert S.language("Il cane era nella sala", models.profiles) == "it" and "dott" in models["it"].abbreviations - models["pl"].abbreviations
+    text = "Il dott. Rossi vide il cane. Il giorno era lungo."
+    assert [text[a:b] for a, b in S.sentences(text, models)] == ["Il dott. Rossi vide il cane.", "Il giorno era lungo."]
+    labels = spark.createDataFrame([(x,) for x in ("EN", " en_US ", "de-XX", "", "12", None)], "l string").select(S.label("l")).collect()
+    assert [r[0] for r in labels] == ["en", "en", "de", "", "", None] and S.learn_profiles(docs.limit(0), "lang") == {}
+
+
+def test_rare_words_decide_behind_abbreviations(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST", 0.5)
+    lines = ["He saw the dog, the cat etc. Zebras came.", "All zebras ran and the dog etc. stood.", "The man, the dog etc. saw the cat.", "It was the dog."]
+    docs = spark.createDataFrame([(i, lines[i % 4]) for i in range(400)], "doc_id bigint, text string")
+    models = S.learn(docs)
+    assert "etc" in models["en"].abbreviations and "zebras" in models["en"].common and "ran" not in models["en"].common
