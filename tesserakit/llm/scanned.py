@@ -6,9 +6,10 @@ the plain cases of a bounded sample of files, which layout rules label (``seeds`
 then judged against a vocabulary counted over all texts that weren't scanned, and paragraphs are put
 together from the lines' labels, with broken words joined and misread ones corrected.
 
-Counting words is a map-side aggregation and one shuffle of counts; the vocabulary that every task gets
-holds words of relative frequency LEAST or more, at most 1/LEAST of them. The files themselves are
-worked on where they are read.
+Counting words is a map-side aggregation and one shuffle of counts. Every task gets the words of
+relative frequency LEAST or more, at most 1/LEAST of them. What a file asks about beyond these, words
+it has and words that its odd ones may be misreadings of, is looked up among all counted words by joins
+(``_answers``) and goes to that file alone. So a word counts as known however rare it is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,12 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spark_util import cut_lineage
+
 #: Files the layout model is trained on, about; twice as many at most.
 SAMPLE = 400
 #: Further rounds of training on the model's own labels; they made running lines of plain text, so none is the default.
 ROUNDS = 0
-#: Least relative frequency of a word in the vocabulary.
+#: Least relative frequency of a word in the vocabulary that every task has.
 LEAST = 1e-6
+#: Files of up to so many characters are drawn for training.
+TRAINING = 200_000
 
 PAGE = re.compile(r"^\s*\[PAGE\s+(\d+)\]\s*$")
 CODE = re.compile(r"^[A-Z]{1,3}[-–][0-9lIOoSBZ]{1,5}$")
@@ -319,10 +325,8 @@ class Vocabulary:
     compounds: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for word in self.counts:
-            if "-" in word:
-                before, _, last = word.rpartition("-")
-                self.compounds.setdefault(before, []).append(last)
+        if not self.compounds:
+            self.compounds = _compounds(self.counts, {})
 
     def __contains__(self, word: str) -> bool:
         return word in self.counts
@@ -336,7 +340,7 @@ class Vocabulary:
                 out.add(a + b[1:])
                 out.update(a + c + b[1:] for c in letters)
             out.update(a + c + b for c in letters)
-        return {w for w in out if w in self.counts}
+        return out & self.counts.keys()
 
     def _confused(self, word: str) -> set[str]:
         out = set()
@@ -377,6 +381,59 @@ class Vocabulary:
         return best[1] if best else None
 
 
+    def asking(self) -> Asking:
+        return Asking(self.counts, self.known, self.compounds)
+
+    @contextmanager
+    def knowing(self, more: dict[str, int]) -> Iterator[Vocabulary]:
+        """This vocabulary with further words, for a while."""
+        before = self.known, self.compounds
+        self.counts.update(more)
+        if more:
+            self.known, self.compounds = {}, {**self.compounds, **_compounds(more, self.compounds)}
+        try:
+            yield self
+        finally:
+            self.known, self.compounds = before
+            for word in more:
+                del self.counts[word]
+
+
+def _compounds(words: Iterable[str], known: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Last parts of hyphenated words by what stands before, those known included."""
+    out: dict[str, list[str]] = {}
+    for word in words:
+        if "-" in word:
+            before, _, last = word.rpartition("-")
+            out.setdefault(before, list(known.get(before, ()))).append(last)
+    return out
+
+
+@dataclass
+class Asking(Vocabulary):
+    """A vocabulary that notes what it was asked and doesn't have."""
+
+    #: Words that may be known, that may be misreadings of known ones, that may be two known ones.
+    asked: set[str] = field(default_factory=set)
+    unsure: set[str] = field(default_factory=set)
+    split: set[str] = field(default_factory=set)
+
+    def __contains__(self, word: str) -> bool:
+        if word in self.counts:
+            return True
+        self.asked.add(word)
+        return False
+
+    def correct(self, word: str) -> str | None:
+        if word not in self.counts:
+            self.unsure.add(word)
+        return super().correct(word)
+
+    def parts(self, word: str) -> tuple[str, str] | None:
+        self.split.add(word)
+        return super().parts(word)
+
+
 FIGURE = re.compile(r"^[(\[]?[#§$€°]?(?:[-+]?\d[\d.,:/%-]*[a-z%]?|[A-Z]{1,3}-\d+|v?\d+(?:\.\d+)+|[A-Z]{2,}\d*)[)\]]?$")
 
 
@@ -443,7 +500,7 @@ def _compound(left: str, right: str, vocabulary: Vocabulary) -> bool:
     if re.fullmatch(r"[A-Z]{1,3}", _plain(left)) and right[:1].isdigit() or left[-1:].isdigit():
         return True
     whole, hyphened = a + b, f"{a}-{b}"
-    if whole in vocabulary or hyphened in vocabulary:
+    if any([whole in vocabulary, hyphened in vocabulary]):
         return vocabulary.counts.get(hyphened, 0) > vocabulary.counts.get(whole, 0)
     if vocabulary.correct(b) in vocabulary.compounds.get(a, ()):
         return True
@@ -513,6 +570,8 @@ def repair(text: str, title: str | None, model: Layout, vocabulary: Vocabulary)
                 done = i + 1
                 continue
             bad, right = odd(token, vocabulary)
+            if isinstance(vocabulary, Asking) and after and bare.isalpha() and after.isalpha() and bare in vocabulary.asked and after not in vocabulary:
+                vocabulary.correct(joined), vocabulary.correct(after)
             if bad:
                 if after and bare.isalpha() and after.isalpha() and after not in vocabulary and (whole := vocabulary.correct(joined)) and vocabulary.correct(after) is None:
                     damage[k].add("misread")
@@ -569,20 +628,94 @@ def _words(tokens: Counter) -> pd.DataFrame:
     return pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype=np.int64)})
 
 
-def vocabulary_of(clean: DataFrame, lexicon: DataFrame | None = None, least: int = 2) -> Vocabulary:
-    """Words of ``clean`` (column text) from all of its rows, and those of ``lexicon`` (column word)."""
-    counts = clean.select("text").filter(F.length("text") > 0).mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = {r[0]: r[1] for r in counts.filter(F.col("n") >= max(least, total * LEAST)).collect()}
+@dataclass
+class Words:
+    """Counts of all words (word, n), how many there are of a word that every task has, and the vocabulary of these."""
+
+    counts: DataFrame
+    cut: float
+    common: Vocabulary
+
+
+def vocabulary_of(clean: DataFrame, lexicon: DataFrame | None = None, least: int = 2) -> Words:
+    """Words of ``clean`` (column text) from all of its rows, seen ``least`` times or more, and those of ``lexicon`` (column word)."""
+    counts = clean.select("text").filter(F.length("text") > 0).mapInPandas(_count, "word string, n long")
     if lexicon is not None:
-        for (w,) in lexicon.select(F.lower("word")).filter("word is not null").distinct().limit(1_000_000).collect():
-            found.setdefault(w, least)
-    return Vocabulary(found)
+        known = lexicon.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
+        counts = counts.unionByName(known.select("word", F.lit(0).cast("long").alias("n")))
+        counts = counts.groupBy("word").agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("listed"))
+        counts = counts.select("word", F.when(F.col("listed"), F.greatest("n", F.lit(least))).otherwise(F.col("n")).alias("n"))
+    else:
+        counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.filter(F.col("n") >= least))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    cut = max(least, total * LEAST)
+    return Words(counts, cut, Vocabulary(dict(map(tuple, counts.filter(F.col("n") >= cut).collect()))))
+
+
+def _ask(model: Layout, vocabulary: Vocabulary):
+    """What files ask beyond the common words: a word's place is 'known', 'near' or 'part'."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, text, title in zip(part["source_path"], part["text"], part["title"]):
+                asking = vocabulary.asking()
+                repair(text, title, model, asking)
+                rows += [(path, w, "known") for w in asking.asked] + [(path, w, "near") for w in asking.unsure] + [(path, w, "part") for w in asking.split]
+            yield pd.DataFrame(rows, columns=["source_path", "word", "place"])
+
+    return run
+
+
+def _without_one(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _question_keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys under which a question meets the words that may answer it: an exact word, or one that an edit leads to."""
+    empty = Vocabulary({})
+    for part in parts:
+        rows = []
+        for word, place in zip(part["word"], part["place"]):
+            if place == "known":
+                rows.append((word, word, True))
+            elif place == "part":
+                rows += [(word, half, True) for i in range(1, len(word)) for half in (word[:i], word[i:])]
+            elif 2 <= len(word) <= 40:
+                once = {word, *empty._confused(word)}
+                rows += [(word, w, True) for o in once for w in {o, *empty._confused(o)}]
+                rows += [(word, k, False) for o in once for k in {o, *_without_one(o)}]
+        yield pd.DataFrame(rows, columns=["asked", "key", "exact"])
+
+
+def _word_keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        rows = [(w, n, k, k == w) for w, n in zip(part["word"], part["n"]) for k in {w, *_without_one(w)}]
+        yield pd.DataFrame(rows, columns=["word", "n", "key", "whole"])
+
+
+def _answers(scans: DataFrame, model: Layout, words: Words) -> DataFrame:
+    """source_path, text, title and more: what of its questions each file is answered from the words that aren't common.
+
+    Two words are an edit apart only if one of them, or what either becomes without one letter, is the other's as well; so
+    both sides' shortened forms are joined, and words that aren't an edit apart but meet do no harm.
+    """
+    questions = cut_lineage(scans.mapInPandas(_ask(model, words.common), "source_path string, word string, place string").distinct())
+    keys = questions.select("word", "place").distinct().mapInPandas(_question_keys, "asked string, key string, exact boolean")
+    rare = words.counts.filter(F.col("n") < words.cut)
+    exact = keys.filter("exact").join(rare.withColumnRenamed("word", "key"), "key").select("asked", F.col("key").alias("word"), "n")
+    close = rare.mapInPandas(_word_keys, "word string, n long, key string, whole boolean")
+    close = keys.filter("not exact").join(close, "key").select("asked", "word", "n")
+    found = exact.unionByName(close).distinct()
+    own = questions.select("source_path", F.col("word").alias("asked")).distinct().join(found, "asked").select("source_path", "word", "n").distinct()
+    more = own.groupBy("source_path").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("more"))
+    return scans.join(more, "source_path", "left")
 
 
 def trained(scans: DataFrame) -> Layout:
-    """A layout model from about SAMPLE of the files, drawn by a hash of their paths (all of them if there are no more)."""
-    rows = scans.select("text", "title", F.xxhash64("source_path").alias("h")).filter(F.length("text").between(1, 200_000)).dropDuplicates(["h"])
+    """A layout model from about SAMPLE of the files of up to TRAINING characters, drawn by a hash of their paths (all if there are no more)."""
+    rows = scans.select("text", "title", F.xxhash64("source_path").alias("h")).filter(F.length("text").between(1, TRAINING)).dropDuplicates(["h"])
     n = rows.count()
     if n > SAMPLE:
         rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * SAMPLE / n))
@@ -593,8 +726,10 @@ def _damage(model: Layout, vocabulary: Vocabulary):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, text, title in zip(part["source_path"], part["text"], part["title"]):
-                for k, kinds in enumerate(repair(text, title, model, vocabulary).damage):
+            for path, text, title, more in zip(part["source_path"], part["text"], part["title"], part["more"]):
+                with vocabulary.knowing(dict(more or ())):
+                    damage = repair(text, title, model, vocabulary).damage
+                for k, kinds in enumerate(damage):
                     rows += [(path, k + 1, kind) for kind in sorted(kinds)]
             yield pd.DataFrame(rows, columns=["source_path", "line_no", "kind"])
 
@@ -605,8 +740,9 @@ def _paragraphs(model: Layout, vocabulary: Vocabulary):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, text, title in zip(part["source_path"], part["text"], part["title"]):
-                rows += [(path, k, p) for k, p in enumerate(repair(text, title, model, vocabulary).paragraphs)]
+            for path, text, title, more in zip(part["source_path"], part["text"], part["title"], part["more"]):
+                with vocabulary.knowing(dict(more or ())):
+                    rows += [(path, k, p) for k, p in enumerate(repair(text, title, model, vocabulary).paragraphs)]
             yield pd.DataFrame(rows, columns=["source_path", "paragraph_no", "text"])
 
     return run
@@ -619,7 +755,8 @@ def _scans(scans: DataFrame) -> DataFrame:
 def find_damage(scans: DataFrame, clean: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """source_path, line_no (from 1) and kind of damaged lines: running, broken or misread; see ``repair_scans``."""
     scans = _scans(scans)
-    return scans.mapInPandas(_damage(trained(scans), vocabulary_of(clean, lexicon)), "source_path string, line_no long, kind string").distinct()
+    model, words = trained(scans), vocabulary_of(clean, lexicon)
+    return _answers(scans, model, words).mapInPandas(_damage(model, words.common), "source_path string, line_no long, kind string").distinct()
 
 
 def repair_scans(scans: DataFrame, clean: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -631,4 +768,5 @@ def repair_scans(scans: DataFrame, clean: DataFrame, lexicon: DataFrame | None =
     holds: an empty table gives no rows, and without words none is called misread by its neighbours.
     """
     scans = _scans(scans)
-    return scans.mapInPandas(_paragraphs(trained(scans), vocabulary_of(clean, lexicon)), "source_path string, paragraph_no int, text string").distinct()
+    model, words = trained(scans), vocabulary_of(clean, lexicon)
+    return _answers(scans, model, words).mapInPandas(_paragraphs(model, words.common), "source_path string, paragraph_no int, text string").distinct()

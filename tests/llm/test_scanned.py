@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from tesserakit.llm import scanned as S
 
 WORDS = "the morning station carries every passenger through another tunnel before winter mountain weather closes modern bridges along northern rivers".split()
@@ -85,3 +86,27 @@ def test_table(spark):
     assert {r["source_path"] for r in found} >= {"a"} and len(found) == len(set(map(tuple, found)))
     assert {r["source_path"] for r in S.repair_scans(scans, clean).collect()} == {"a", "one"}
     assert S.find_damage(scans.limit(0), clean).count() == 0 and S.find_damage(scans, clean.limit(0)).count() >= 1
+
+
+def test_rare_words_are_known(spark, monkeypatch):
+    rng = random.Random(7)
+    files = [(f"f{i}", book(rng)[0].replace("passenger", "passcnger", 1).replace("mountain ", "mountainweather ", 1), None) for i in range(6)]
+    scans = spark.createDataFrame(files, "source_path string, text string, title string")
+    clean = spark.createDataFrame([(" ".join(WORDS) + " double-checked",)] * 3 + [("the the the",)] * 400, "text string")
+    found = []
+    for least in (1e-9, 0.1):  # all words are common ones; only the commonest is
+        monkeypatch.setattr(S, "LEAST", least)
+        words = S.vocabulary_of(clean)
+        assert len(words.common.counts) == (len(WORDS) + 3 if least < 0.1 else 1)
+        found.append(sorted(map(tuple, S.find_damage(scans, clean).collect())) + sorted(map(tuple, S.repair_scans(scans, clean).collect())))
+    assert found[0] == found[1] and any(kind == "misread" for _, _, kind in found[0][:200])
+
+
+def test_questions_meet_their_answers():
+    v = S.Vocabulary({"the": 5})
+    with v.knowing({"half-way": 2}):
+        assert "half-way" in v and v.compounds == {"half": ["way"]}
+    assert "half-way" not in v and v.compounds == {}
+    keys = next(S._question_keys(iter([pd.DataFrame({"word": ["tunncl"], "place": ["near"]})])))
+    own = next(S._word_keys(iter([pd.DataFrame({"word": ["tunnel", "tunnels", "tunne"], "n": [1, 1, 1]})])))
+    assert set(own[own.key.isin(keys[~keys.exact].key)].word) == {"tunnel", "tunne"}
