@@ -106,7 +106,11 @@ class Catalog:
         return entry
 
     def delete(self, name: str) -> None:
-        """The entry goes first, then its data; the next entry becomes the active one."""
+        """The entry goes first, then its data; the next entry becomes the active one. Refused while a run writes to it."""
+        from .index import Busy, indexing
+
+        if indexing(self, name):
+            raise Busy(f"collection {name!r} is being indexed")
         state = self._read()
         entry = self._entry(state["entries"].pop(name))
         if state["active"] == name:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import VersionedTable
+
 # The fact tables and the column that dates a row, in epoch seconds.
 FACTS = {
     "indexing_runs": "started_at",
@@ -66,31 +66,40 @@ def purge(rows: DataFrame, time: str, now: float, days: float) -> DataFrame:
     return rows.filter(F.col(time).isNull() | (F.col(time) >= now - 86400.0 * days))
 
 
+def _table(spark: SparkSession, folder: str, fact: str) -> VersionedTable:
+    return VersionedTable(spark, f"{folder}/{fact}", SCHEMAS[fact])
+
+
 def append(rows: DataFrame, folder: str, fact: str) -> None:
     """Adds rows to a fact table; columns they lack are null."""
     empty = rows.sparkSession.createDataFrame([], SCHEMAS[fact])
-    empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{folder}/{fact}")
+    _table(rows.sparkSession, folder, fact).append(empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).coalesce(1))
+
+
+def record(spark: SparkSession, folder: str, fact: str, **values: object) -> None:
+    """Adds one row."""
+    fields = [f.split() for f in SCHEMAS[fact].split(", ") if f.split()[0] in values]
+    append(spark.createDataFrame([tuple(values[name] for name, _ in fields)], ", ".join(map(" ".join, fields))), folder, fact)
+
+
+def rate(n: int, seconds: float) -> float:
+    """So many a second, to one digit; 0 where no time passed."""
+    return round(n / seconds, 1) if seconds > 0 else 0.0
 
 
 def read(spark: SparkSession, folder: str, fact: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[fact]).parquet(f"{folder}/{fact}") if os.path.isdir(f"{folder}/{fact}") else spark.createDataFrame([], SCHEMAS[fact])
+    return _table(spark, folder, fact).read()
 
 
 def purge_all(spark: SparkSession, folder: str, days: float, now: float | None = None) -> int:
-    """Applies retention to all fact tables; returns how many rows went. Each table is written beside itself and then swapped."""
+    """Applies retention to all fact tables; returns how many rows went. What stays is a new version, which then takes the old one's place."""
     gone, now = 0, time.time() if now is None else now
     for fact, when in FACTS.items():
-        path = f"{folder}/{fact}"
-        if not os.path.isdir(path):
-            continue
-        rows = read(spark, folder, fact)
-        left = purge(rows, when, now, days)
-        went = rows.count() - left.count()
+        facts = _table(spark, folder, fact)
+        rows = facts.read()
+        went = rows.count() - purge(rows, when, now, days).count()
         if went:
-            left.write.mode("overwrite").parquet(f"{path}.next")
-            os.rename(path, f"{path}.old")
-            os.rename(f"{path}.next", path)
-            shutil.rmtree(f"{path}.old")
+            facts.write(purge(rows, when, now, days))
         gone += went
     return gone
 

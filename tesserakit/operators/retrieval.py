@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -323,26 +324,37 @@ class SearchSettings:
         return max(4 * self.top_k, 20)
 
 
-def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchSettings | None = None, index: Bm25Index | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchSettings | None = None, index: Bm25Index | None = None, took: dict[str, float] | None = None) -> DataFrame:
     """rank, chunk_id, source_file, chunk_index, score and text of the best chunks for a query.
 
     Vector search over fetches max(4 k, 20) chunks and drops those under the threshold; with no vector hits the result is
     empty. BM25 hits are fused in, the fetch_k best kept and re-ranked, k of them selected for diversity (in order of
-    selection; the k best where diversity is off or a vector is missing), and the final score cut at min_score.
+    selection; the k best where diversity is off or a vector is missing), and the final score cut at min_score. ``took`` is
+    told the milliseconds of the stages that run at once; what follows them runs with the result's plan.
     """
     s = settings or SearchSettings()
     spark = chunks.sparkSession
     scored = "id string, score double"
+    clock = time.time()
+
+    def lap(name: str) -> None:
+        nonlocal clock
+        if took is not None:
+            took[name] = 1000 * (time.time() - clock)
+        clock = time.time()
 
     def few(rows: DataFrame) -> DataFrame:
         """At most fetch_k rows, as a table of one partition, on which nothing is shuffled."""
         return spark.createDataFrame(rows.select("id", "score").collect(), scored).coalesce(1)
 
     found = few(vector_search(chunks, vector, s.fetch_k, min_score=s.min_score_threshold).withColumnRenamed("similarity", "score"))
+    lap("vector_search_ms")
     if s.hybrid and not found.isEmpty():
         index = index or Bm25Index.of(chunks.dropDuplicates(["chunk_id"]), "chunk_id")
-        found = fuse(found, few(bm25_search(index, query, s.fetch_k)), s.alpha)
-        found = few(found.orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k))
+        words = few(bm25_search(index, query, s.fetch_k))
+        lap("bm25_ms")
+        found = few(fuse(found, words, s.alpha).orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k))
+        lap("fusion_ms")
     scores = {r["id"]: r["score"] for r in found.collect()}
     columns = ["source_file", "chunk_index", "text", "embedding"]
     # the ids go down to the scan; of rows with one id the greatest counts, those with a vector first

@@ -126,45 +126,89 @@ def migrate(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class VersionedTable:
-    """A table of which each write is a new folder."""
+    """A table of which each write is a new folder.
+
+    With a ``key`` its rows are divided into ``parts`` by the key's hash, a folder each, and a write may replace some parts
+    only: the pointer then names, part by part, the version that holds it. ``parts`` may not change once there is a table.
+    """
 
     spark: SparkSession
     path: str
     schema: str
+    key: str | None = None
+    parts: int = 64
 
     def _fs(self):  # noqa: ANN202
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
+    def _pointer(self) -> dict:
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.path}/current.json")):
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))
+
     def version(self) -> str | None:
+        return self._pointer().get("version")
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def parts_of(self, keys: DataFrame) -> list[int]:
+        """The parts in which keys (the first column) lie; ``parts`` numbers at most."""
+        return sorted(r[0] for r in keys.select(F.col(keys.columns[0]).alias(self.key)).select(self._part()).distinct().collect())
+
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some parts."""
+        now = self._pointer()
+        if "folders" in now:
+            folders = [f"{folder}/_part={part}" for part, folder in now["folders"].items() if parts is None or int(part) in parts]
+        else:
+            folders = [now["version"]] if now else []
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, keep_old: bool = False, parts: list[int] | None = None) -> str:
+        """Writes a version, of some parts if named, and makes it current; what it replaces is removed unless ``keep_old``."""
+        old, new = self._pointer(), f"v-{uuid.uuid4().hex}"
         fs, path = self._fs()
-        pointer = path(f"{self.path}/current.json")
-        if not fs.exists(pointer):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))["version"]
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, keep_old: bool = False) -> str:
-        """Writes a version and makes it current; the one before is removed unless ``keep_old``."""
-        old, new = self.version(), f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{new}")
+        state = {"version": new}
+        gone = [old["version"]] if old else []
+        if self.key is None:
+            rows.write.parquet(f"{self.path}/{new}")
+        else:
+            # a part is written by several tasks, which AQE divides further if it is large
+            spread = rows.withColumn("_part", self._part()).repartition("_part", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(8)))
+            spread.write.partitionBy("_part").parquet(f"{self.path}/{new}")
+            written = {s.getPath().getName().removeprefix("_part=") for s in fs.listStatus(path(f"{self.path}/{new}")) if s.isDirectory()}
+            before = old.get("folders", {})
+            kept = {k: v for k, v in before.items() if parts is not None and int(k) not in parts}
+            state["folders"] = kept | dict.fromkeys(sorted(written), new)
+            gone = [f"{v}/_part={k}" for k, v in before.items() if k not in kept] or gone * ("folders" not in old)
+        self._point(state)
+        for folder in [] if keep_old else gone:
+            fs.delete(path(f"{self.path}/{folder}"), True)
+        return new
+
+    def append(self, rows: DataFrame) -> None:
+        """Adds rows to the current version, where no other change is under way."""
+        version = self.version()
+        if version is None:
+            self.write(rows)
+        else:
+            rows.write.mode("append").parquet(f"{self.path}/{version}")
+
+    def _point(self, state: dict) -> None:
         fs, path = self._fs()
-        draft, pointer = path(f"{self.path}/next-{new}.json"), path(f"{self.path}/current.json")
+        draft, pointer = path(f"{self.path}/next-{state['version']}.json"), path(f"{self.path}/current.json")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": new}).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark._sc._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(fs.makeQualified(draft), fs.makeQualified(pointer), options)
-        if old and not keep_old:
-            fs.delete(path(f"{self.path}/{old}"), True)
-        return new
 
 
 CHUNKS = "chunk_id string, source_file string, chunk_index int, start_char int, end_char int, text string, metadata map<string,string>, embedding array<float>"
@@ -172,14 +216,14 @@ CHUNKS = "chunk_id string, source_file string, chunk_index int, start_char int,
 
 @dataclass
 class KnowledgeBase:
-    """The chunks and the manifest of one collection."""
+    """The chunks and the manifest of one collection, both divided by file, so a change rewrites the parts of its files only."""
 
     chunks: VersionedTable
     manifest: VersionedTable
 
     @staticmethod
     def at(spark: SparkSession, folder: str) -> KnowledgeBase:
-        return KnowledgeBase(VersionedTable(spark, f"{folder}/chunks", CHUNKS), VersionedTable(spark, f"{folder}/manifest", MANIFEST))
+        return KnowledgeBase(VersionedTable(spark, f"{folder}/chunks", CHUNKS, "source_file"), VersionedTable(spark, f"{folder}/manifest", MANIFEST, "path"))
 
     def replace_files(self, chunks: DataFrame, files: DataFrame) -> None:
         """Puts in the chunks of some files (path, mtime_ns, content_hash): all of their old ones go.
@@ -187,17 +231,26 @@ class KnowledgeBase:
         Files with no chunks left are in the manifest all the same, with 0, so they aren't taken up again each time.
         """
         paths = files.select("path").distinct()
-        cut = delete_where_in(self.chunks.read(), paths, "source_file").unionByName(chunks, allowMissingColumns=True)
-        self.chunks.write(cut)
-        counts = sources(self.chunks.read()).withColumnRenamed("source_file", "path")
+        parts = self.manifest.parts_of(paths)
+        cut = delete_where_in(self.chunks.read(parts), paths, "source_file").unionByName(chunks, allowMissingColumns=True)
+        self.chunks.write(cut, parts=parts)
+        counts = sources(self.chunks.read(parts)).withColumnRenamed("source_file", "path")
         rows = files.join(counts, "path", "left").select(
             "path", "mtime_ns", "content_hash", F.coalesce("chunk_count", F.lit(0)).cast("int").alias("chunk_count"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("last_indexed")
         )
-        self.manifest.write(upsert(self.manifest.read(), rows, ["path"]))
+        self.manifest.write(upsert(self.manifest.read(parts), rows, ["path"]), parts=parts)
+
+    def touch_files(self, files: DataFrame) -> None:
+        """New times (path, mtime_ns) of files whose content is as it was."""
+        parts = self.manifest.parts_of(files)
+        new = files.select("path", F.col("mtime_ns").alias("_at"))
+        rows = self.manifest.read(parts).join(new, "path", "left").withColumn("mtime_ns", F.coalesce("_at", "mtime_ns")).drop("_at")
+        self.manifest.write(rows, parts=parts)
 
     def remove_files(self, paths: DataFrame) -> None:
-        self.chunks.write(delete_where_in(self.chunks.read(), paths, "source_file"))
-        self.manifest.write(delete_where_in(self.manifest.read(), paths, "path"))
+        parts = self.manifest.parts_of(paths.select("path"))
+        self.chunks.write(delete_where_in(self.chunks.read(parts), paths.select("path"), "source_file"), parts=parts)
+        self.manifest.write(delete_where_in(self.manifest.read(parts), paths.select("path"), "path"), parts=parts)
 
     def clear(self) -> None:
         for t in (self.chunks, self.manifest):

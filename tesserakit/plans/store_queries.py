@@ -381,8 +381,9 @@ def streamed_events(spark, sf_dir):
     source = spark.readStream.schema(table(spark, sf_dir, "file_events").schema).parquet(f"{sf_dir}/file_events.parquet*")
     rows = source.select("path", E.kind_of("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts")).dropna()
     rows = rows.filter(formats.supported("path") & ~skip.skipped_path("path"))
-    E.follow(rows, f"{at}/checkpoint", lambda batch, n: batch.write.mode("append").parquet(f"{at}/out")).awaitTermination()
-    return E.last_event_wins(spark.read.schema("path string, event string, ts timestamp").parquet(f"{at}/out")).select("path", "event", F.unix_micros("ts").alias("us"))
+    last = E.LastEvents(spark, f"{at}/last", lambda batch, n: None)
+    E.follow(rows, f"{at}/checkpoint", last).awaitTermination()
+    return last.now().select("path", "event", F.unix_micros("ts").alias("us"))
 
 
 QUERIES = {

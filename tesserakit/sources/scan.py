@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import formats, markup, parsers, skip
 
-SCHEMA = "source_path string, text string, title string, format_hint string, metadata map<string,string>"
+SCHEMA = "source_path string, text string, title string, format_hint string, metadata map<string,string>, content_hash string"
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modified_at and length of the files under a folder that have a parser and aren't skipped, with content."""
+    """path, modified_at, length and content of the files under a folder that have a parser and aren't skipped.
+
+    Only a plan that uses content reads it; a filter on modified_at or length goes down to the listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     bare = F.regexp_replace("path", "^file:/*", "/")
     root = folder.removeprefix("file://").rstrip("/") + "/"
@@ -30,14 +34,14 @@ def _parse(plugged: dict[str, parsers.Parser], hooks: dict[str, Callable[[bytes]
             rows = []
             for path, kind, data, stamp in zip(part["path"], part["kind"], part["content"], part["stamp"]):
                 text, title, hint, meta = parsers.parse(path.rpartition("/")[2], kind, bytes(data or b""), plugged, hooks)
-                rows.append((path, text, title, hint, {**meta, "file_modified_at": stamp or ""}))
-            yield pd.DataFrame(rows, columns=["source_path", "text", "title", "format_hint", "metadata"])
+                rows.append((path, text, title, hint, {**meta, "file_modified_at": stamp or ""}, xxhash.xxh64_hexdigest(bytes(data or b""))))
+            yield pd.DataFrame(rows, columns=["source_path", "text", "title", "format_hint", "metadata", "content_hash"])
 
     return run
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """source_path, text, title, format_hint and metadata of listed files.
+def parse_files(files: DataFrame, hashes: bool = False) -> DataFrame:
+    """source_path, text, title, format_hint and metadata of listed files; with ``hashes`` their content_hash (xxh64) as well.
 
     Bytes are parsed in Arrow batches; what is pattern work (Markdown, reStructuredText, code, logs) follows as Column
     expressions. A file that can't be read comes out with empty text and parse_error in its metadata.
@@ -59,6 +63,7 @@ def parse_files(files: DataFrame) -> DataFrame:
         F.when(kind == "markdown", F.when(heading != "", heading).otherwise(named)).when(kind == "code", F.concat(name, F.lit(" ("), language, F.lit(")"))).otherwise(F.col("title")).alias("title"),
         "format_hint",
         F.when(kind == "code", F.map_concat("metadata", code)).when(kind == "log", F.map_concat("metadata", log)).otherwise(F.col("metadata")).alias("metadata"),
+        *(["content_hash"] if hashes else []),
     )
 
 

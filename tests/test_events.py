@@ -44,3 +44,26 @@ def test_stream(spark, tmp_path):
     q = bursts.writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert bursts.isStreaming and F.col("x") is not None
+
+
+def test_folder_events_and_moves(spark):
+    listing = lambda rows: spark.createDataFrame(rows, "path string, mtime_ns bigint")
+    unchanged = E.folder_events(listing([("a", 10), ("c", None)]), listing([("a", 10), ("c", None)]))
+    assert unchanged.count() == 0
+    assert {r["path"]: r["event"] for r in E.folder_events(listing([("a", 10), ("b", 10)]), listing([("b", 11), ("d", 5)])).collect()} == {"a": "delete", "b": "change", "d": "change"}
+    rows = spark.createDataFrame([("a.py", "moved", T0, "b.py"), ("c.py", "change", T0, None), ("d.py", "Moved ", T0, None)], "path string, event_type string, ts timestamp, dest_path string")
+    assert sorted((r["path"], r["event_type"]) for r in E.moved(rows).collect()) == [("a.py", "deleted"), ("b.py", "change"), ("c.py", "change"), ("d.py", "deleted")]
+    assert E.folder_events(listing([]), listing([])).count() == 0
+
+
+def test_late_events_across_batches(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for part in ([("a.py", "delete", 5), ("b.py", "change", 1)], [("a.py", "change", 3), ("b.py", "delete", 2)], [("c.py", "change", 0), ("b.py", "delete", 2)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("path string, event_type string, ts timestamp").parquet(source).select("path", E.kind_of("event_type").alias("event"), "ts")
+    acted = []
+    last = E.LastEvents(spark, str(tmp_path / "last"), lambda batch, n: acted.extend((n, r["path"], r["event"]) for r in batch.collect()))
+    E.follow(stream, str(tmp_path / "check"), last).awaitTermination()
+    assert sorted((r["path"], r["event"]) for r in last.now().collect()) == [("a.py", "delete"), ("b.py", "delete"), ("c.py", "change")]
+    per_path = [e for _, p, e in sorted(acted) if p == "a.py"]
+    assert len({n for n, *_ in acted}) >= 2 and per_path[-1] == "delete" and len(acted) == len(set(acted))
