@@ -45,6 +45,18 @@ def bm25_negative_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).terms.filter("raw_idf < 0").select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
 
 
+def bm25_chunk_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of more than half of the chunks, whose idf would be negative."""
+    terms = R.Bm25Index.of(_chunks(spark, sf_dir).dropDuplicates(["chunk_id"]), "chunk_id").terms
+    return terms.filter("raw_idf < 0").select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
+
+
+def bm25_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a query with words that most chunks have."""
+    index = R.Bm25Index.of(_chunks(spark, sf_dir).dropDuplicates(["chunk_id"]), "chunk_id")
+    return index.scores("Title: the index the").select(F.col("id").alias("chunk_id"), "score")
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     return R.vector_search(chunks, _query_vector(chunks), 20).select("rank", F.col("id").alias("chunk_id"), "similarity")
@@ -158,6 +170,8 @@ QUERIES = {
         bm25_scores,
         bm25_term_stats,
         bm25_negative_idf,
+        bm25_chunk_idf,
+        bm25_common_words,
         vector_topk,
         vector_threshold,
         vector_filtered,
@@ -234,6 +248,11 @@ SQL = {
     "bm25_scores": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT id AS doc_id, score FROM scores",
     "bm25_term_stats": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_negative_idf": "WITH " + _bm25_sql("documents", "doc_id") + "SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM idf WHERE raw_idf < 0",
+    "bm25_chunk_idf": "WITH " + _bm25_sql(_ONE, "chunk_id") + "SELECT term, df, round(raw_idf, 6) AS raw_idf, round(idf, 6) AS idf FROM idf WHERE raw_idf < 0",
+    "bm25_common_words": "WITH " + _bm25_sql(_ONE, "chunk_id").replace(_WORDS, "'title:', 'the', 'index'") + """,
+asked AS (SELECT * FROM (VALUES ('title:', 1), ('the', 2), ('index', 1)) AS a(term, times))
+SELECT id AS chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN asked USING (term), sizes GROUP BY id
+""",
     "vector_topk": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims ORDER BY 1 LIMIT 20",
     "vector_threshold": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims WHERE similarity >= 0.6 ORDER BY 1 LIMIT 50",
     "vector_filtered": "WITH " + _VECTORS + "SELECT CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER) AS rank, id AS chunk_id, similarity FROM sims WHERE format = 'markdown' ORDER BY 1 LIMIT 20",

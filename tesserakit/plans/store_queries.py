@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, metrics, store
+from ..operators import chunking, embedding, metrics, store
 from ..sources import formats, markup, parsers, skip
 from ..spark_util import shared_dir, table
 from ..streaming import events as E
 
 FOLDERS = ["ops", "docs/2023", "docs"]
 GONE = "legal/"
+VARIANTS = [("", ""), ("a/Node_Modules/", ""), (".git\\", ""), ("x.egg-info/", ""), ("build", ""), ("", ".BAK"), ("", "/Thumbs.db"), ("", ".min.js"), ("", "~")]
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,13 @@ def skipped_paths(spark, sf_dir):
     return paths.filter(skip.skipped_path("path"))
 
 
+def skipped_variants(spark, sf_dir):
+    """Of every path, as it is and put where rules skip it, whether it is skipped."""
+    paths = _files(spark, sf_dir).select(F.col("source_path").alias("p")).distinct()
+    forms = F.array(*(F.concat(F.lit(before), "p", F.lit(after)) for before, after in VARIANTS))
+    return paths.select(F.explode(forms).alias("path")).select("path", skip.skipped_path("path").alias("skipped"))
+
+
 def log_counts(spark, sf_dir):
     lines, errors, warnings = markup.log_counts("text")
     files = _files(spark, sf_dir).filter(F.col("source_path").rlike(r"\.log$") & F.col("text").isNotNull()).select("source_path", "text").distinct()
@@ -162,6 +170,12 @@ def hash_embedding(spark, sf_dir):
     return words.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def embedded_shapes(spark, sf_dir):
+    """Unit vectors of prefixed texts, by the backend that only counts."""
+    vectors = table(spark, sf_dir, "documents").select("doc_id", embedding.embed("text", "text-shape", "passage: ").alias("v"))
+    return vectors.select("doc_id", *(F.round(F.col("v")[k].cast("double"), 2).alias(f"v{k}") for k in range(4)))
+
+
 def iso_times(spark, sf_dir):
     rows = _searches(spark, sf_dir).filter("timestamp is not null")
     at = F.timestamp_seconds(F.floor("timestamp"))
@@ -268,6 +282,15 @@ def manifest_changes(spark, sf_dir):
     return store.changed(_current(spark, sf_dir), _known(spark, sf_dir))
 
 
+def file_changes(spark, sf_dir):
+    """Changes with the hash rule, over all files: every third file's hash is the manifest's, so a differing time alone is none."""
+    now = _current(spark, sf_dir)
+    known = _known(spark, sf_dir).dropDuplicates(["path"])
+    same = F.when(F.length("path") % 3 == 0, F.col("content_hash")).otherwise(F.concat(F.lit("other "), "content_hash"))
+    hashed = now.join(known.select("path", same.alias("content_hash")), "path", "left")
+    return store.changed(hashed, known)
+
+
 def change_counts(spark, sf_dir):
     return manifest_changes(spark, sf_dir).groupBy("change").agg(F.count("*").alias("files"))
 
@@ -389,11 +412,11 @@ def streamed_events(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        [format_dispatch, code_languages, path_parts, skipped_paths, log_counts, markdown_clean, rst_clean, doc_summaries, events_props_flat]
+        [format_dispatch, code_languages, path_parts, skipped_paths, skipped_variants, log_counts, markdown_clean, rst_clean, doc_summaries, events_props_flat]
         + [chunk_documents, section_rows, page_sections, heading_sections, fixed_windows, context_prefix]
-        + [token_counts, blank_texts, embedding_texts, hash_embedding, iso_times, durations, metadata_values, metadata_merged, content_hashes]
+        + [token_counts, blank_texts, embedding_texts, hash_embedding, embedded_shapes, iso_times, durations, metadata_values, metadata_merged, content_hashes]
         + [source_counts, store_stats, source_page, source_filter, display_paths, resolved_paths, document_chunks, upserted, without_sources, known_ids, source_sets]
-        + [manifest_changes, change_counts, manifest_problems, manifest_totals, manifest_invalidated, manifest_upserted, manifest_migrated, wrong_counts]
+        + [manifest_changes, file_changes, change_counts, manifest_problems, manifest_totals, manifest_invalidated, manifest_upserted, manifest_migrated, wrong_counts]
         + [search_dashboard, search_dashboard_by_base, search_dashboard_of_one, latest_search, recent_searches, recent_searches_chart, purged_searches, searches_by_day]
         + [relevant_events, last_events, debounce_sessions, debounced_events, late_events, streamed_events]
     )
@@ -442,7 +465,39 @@ _DASH = "count(*) AS searches, round(avg(CASE WHEN total_duration_ms >= 0 THEN t
 _TOKS = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda t: t <> '')"
 _EMBED = "CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN ' ' ELSE text END"
 
+_BLANKS = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANKS}|{_BLANKS}$', '', 'g')"
+
+
+def _through(text: str, patterns: list[tuple[str, str]]) -> str:
+    """The patterns one after the other; here, a line feed ends a line without a flag."""
+    for pattern, becomes in patterns:
+        plain = pattern.replace("(?d)", "").replace("(?md)", "(?m)").replace("'", "''")
+        new = becomes.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
+        text = f"regexp_replace({text}, '{plain}', '{new}', 'g')"
+    return _stripped(text)
+
+
 SQL = {
+    "markdown_clean": f"SELECT source_path, {_stripped("regexp_extract(text, '(?m)^#\\s+(.+)$', 1)")} AS title, {_through('text', markup.MARKDOWN)} AS text FROM (SELECT DISTINCT source_path, text FROM documents_parsed WHERE format_hint = 'markdown' AND text IS NOT NULL)",
+    "rst_clean": f"SELECT source_path, {_through('text', markup.RST)} AS text FROM (SELECT DISTINCT source_path, text FROM documents_parsed WHERE source_path LIKE '%.rst' AND text IS NOT NULL)",
+    "skipped_variants": "WITH v AS (SELECT DISTINCT unnest([" + ", ".join(f"'{a}' || p || '{b}'" for a, b in VARIANTS) + f"]) AS path FROM {_PATHS}) SELECT path, {_SKIPPED} AS skipped FROM (SELECT path, {_PARTS} AS parts FROM v)",
+    "embedded_shapes": f"""
+WITH t AS (SELECT doc_id, 'passage: ' || {_EMBED} AS t FROM documents),
+n AS (SELECT doc_id, length(t)::FLOAT AS a, len(list_filter(string_split_regex(t, '{_BLANKS}'), lambda x: x <> ''))::FLOAT AS b, length(regexp_replace(t, '[^0-9]', '', 'g'))::FLOAT AS c FROM t)
+SELECT doc_id, round(a / sqrt(a * a + b * b + c * c + 1), 2) AS v0, round(b / sqrt(a * a + b * b + c * c + 1), 2) AS v1, round(c / sqrt(a * a + b * b + c * c + 1), 2) AS v2, round(1 / sqrt(a * a + b * b + c * c + 1), 2) AS v3
+FROM (SELECT doc_id, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c FROM n)
+""",
+    "file_changes": """
+WITH cur AS (SELECT source_path AS path, max(epoch(CAST(nullif(metadata['file_modified_at'], '') AS TIMESTAMPTZ))::BIGINT) AS t FROM documents_parsed GROUP BY 1),
+man AS (SELECT DISTINCT path, mtime_ns // 1000000000 AS was, content_hash FROM manifest),
+ch AS (SELECT coalesce(cur.path, man.path) AS path, CASE WHEN man.path IS NULL THEN 'new' WHEN cur.path IS NULL THEN 'removed' WHEN coalesce(content_hash, '') = '' THEN 'modified'
+ WHEN length(cur.path) % 3 <> 0 AND (t IS NULL OR was IS NULL OR t <> was) THEN 'modified' END AS change FROM cur FULL JOIN man ON cur.path = man.path)
+SELECT path, change FROM ch WHERE change IS NOT NULL
+""",
     "format_dispatch": f"SELECT coalesce({_case(_SUFFIX.format('p'), formats.FORMAT_OF)}, 'none') AS format, count(*) AS files FROM {_PATHS} GROUP BY 1",
     "code_languages": f"SELECT p AS source_path, {_case(_SUFFIX.format('p'), formats.LANGUAGES)} AS language FROM {_PATHS} WHERE {_SUFFIX.format('p')} IN ({_list(list(formats.LANGUAGES))})",
     "path_parts": f"SELECT p AS source_path, {_NAME.format('p')} AS name, {_SUFFIX.format('p')} AS suffix, regexp_replace({_NAME.format('p')}, '(.)\\.[^.]*$', '\\1') AS stem FROM {_PATHS}",
