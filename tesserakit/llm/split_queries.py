@@ -39,6 +39,19 @@ WHERE end_char - p > 1024
    OR (NOT (end_char = length(text) OR regexp_matches(substr(text, end_char, 1), '[ \t\n\r。！？]') OR regexp_matches(substr(text, end_char + 1, 1), '[ \t\n\r]'))
        AND end_char - 1 > p
        AND (regexp_matches(substr(text, p + 1, end_char - 1 - p), '[ \t\n\r。！？]') OR regexp_matches(substr(text, p + 2, end_char - 1 - p), '[ \t\n\r]') OR end_char > length(text)))
+""",
+    "p2_pieces": r"""
+WITH RECURSIVE files AS (SELECT DISTINCT source_path, text, length(text) AS n FROM documents_parsed WHERE length(text) > 1024),
+letters AS (SELECT source_path, unnest(range(1, n + 1)) AS place, unnest(string_split(text, '')) AS c FROM files),
+places AS (SELECT source_path, place FROM (SELECT *, lead(c) OVER (PARTITION BY source_path ORDER BY place) AS d FROM letters) WHERE regexp_matches(c, '[ \t\n\r。！？]') OR d IS NULL OR regexp_matches(d, '[ \t\n\r]')),
+cuts AS (
+  SELECT source_path, n, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS e FROM files
+  UNION ALL
+  SELECT c.source_path, c.n, c.i + 1, c.e, coalesce(max(place), least(c.e + 1024, c.n)) FROM cuts c LEFT JOIN places s ON s.source_path = c.source_path AND s.place > c.e AND s.place <= c.e + 1024
+  WHERE c.e < c.n GROUP BY c.source_path, c.n, c.i, c.e)
+SELECT source_path, i AS chunk_index, CASE WHEN i = 0 THEN 0 ELSE greatest(0, p - 128) END AS start_char, e AS end_char,
+ substr(text, CAST(CASE WHEN i = 0 THEN 0 ELSE greatest(0, p - 128) END AS BIGINT) + 1, CAST(e - CASE WHEN i = 0 THEN 0 ELSE greatest(0, p - 128) END AS BIGINT)) AS text
+FROM cuts JOIN files USING (source_path) WHERE i >= 0
 """,
     "p2_sizes": """
 SELECT source_path, CAST(length(text) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS first_char
