@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -334,7 +335,6 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchS
     """
     s = settings or SearchSettings()
     spark = chunks.sparkSession
-    scored = "id string, score double"
     clock = time.time()
 
     def lap(name: str) -> None:
@@ -343,22 +343,23 @@ def search(chunks: DataFrame, query: str, vector: list[float], settings: SearchS
             took[name] = 1000 * (time.time() - clock)
         clock = time.time()
 
-    def few(rows: DataFrame) -> DataFrame:
+    def few(rows: list) -> DataFrame:
         """At most fetch_k rows, as a table of one partition, on which nothing is shuffled."""
-        return spark.createDataFrame(rows.select("id", "score").collect(), scored).coalesce(1)
+        ids, scores = zip(*rows) if rows else ((), ())
+        return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "score": pa.array(scores, pa.float64())})).coalesce(1)
 
-    found = few(vector_search(chunks, vector, s.fetch_k, min_score=s.min_score_threshold).withColumnRenamed("similarity", "score"))
+    near = vector_search(chunks, vector, s.fetch_k, min_score=s.min_score_threshold).select("id", "similarity").collect()
     lap("vector_search_ms")
-    if s.hybrid and not found.isEmpty():
+    found, words = few(near), []
+    if s.hybrid and near:
         index = index or Bm25Index.of(chunks.dropDuplicates(["chunk_id"]), "chunk_id")
-        words = few(bm25_search(index, query, s.fetch_k))
+        words = bm25_search(index, query, s.fetch_k).select("id", "score").collect()
         lap("bm25_ms")
-        found = few(fuse(found, words, s.alpha).orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k))
-        lap("fusion_ms")
-    scores = {r["id"]: r["score"] for r in found.collect()}
+        found = fuse(found, few(words), s.alpha).orderBy(F.desc("score"), F.asc("id")).limit(s.fetch_k)
     columns = ["source_file", "chunk_index", "text", "embedding"]
-    # the ids go down to the scan; of rows with one id the greatest counts, those with a vector first
-    rows = chunks.filter(F.col("chunk_id").isin(list(scores))).select(F.col("chunk_id").cast("string").alias("id"), *columns).repartition(1)
+    # the ids, at most twice fetch_k, go down to the scan; of rows with one id the greatest counts, those with a vector first
+    ids = sorted({r["id"] for r in [*near, *words]})
+    rows = chunks.filter(F.col("chunk_id").isin(ids)).select(F.col("chunk_id").cast("string").alias("id"), *columns).repartition(1)
     best = F.max(F.struct(F.col("embedding").isNotNull().alias("has"), *columns)).alias("best")
     hits = rows.groupBy("id").agg(best).select("id", *(F.col(f"best.{c}").alias(c) for c in columns)).join(found, "id").withColumnRenamed("embedding", "v")
     if s.reranking:
