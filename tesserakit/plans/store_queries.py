@@ -33,7 +33,8 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seconds(column: str) -> F.Column:
-    return F.floor(F.col(column) / 1_000_000_000).cast("bigint")
+    """Whole seconds of nanoseconds, rounded down, in whole numbers: doubles would round some up to the next second."""
+    return F.expr(f"{column} div 1000000000 - int({column} % 1000000000 < 0)")
 
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:

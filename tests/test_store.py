@@ -93,3 +93,21 @@ def test_files_without_a_time_are_there(spark, tmp_path):
     changes = {r["path"]: r["change"] for r in Q.manifest_changes(spark, str(tmp_path)).collect()}
     assert changes == {"no_time": "modified", "no_metadata": "modified", "new_no_time": "new", "gone": "removed"}
     assert [tuple(r) for r in Q.manifest_upserted(spark, str(tmp_path)).select("files", "chunks").collect()] == [(5, 7)]
+
+
+def times_by_the_nanosecond(spark, folder):
+    """Files of one time, and a manifest with that second's first and last nanoseconds, those beside it and one before 1970."""
+    second = 1_704_067_200
+    times = {"first": second * 10**9, "last": second * 10**9 + 999_999_999, "before": second * 10**9 - 1, "after": (second + 1) * 10**9, "untimed": None}
+    at = {"file_modified_at": "2024-01-01T00:00:00+00:00"}
+    files = [(p, at) for p in times] + [("old", {"file_modified_at": "1969-12-31T23:59:57+00:00"})]
+    known = [(p, t, "h", 1, "") for p, t in times.items()] + [("old", -2_500_000_000, "h", 1, "")]
+    table(spark, files, "source_path string, metadata map<string,string>").write.parquet(f"{folder}/documents_parsed.parquet")
+    table(spark, known, store.MANIFEST).write.parquet(f"{folder}/manifest.parquet")
+
+
+def test_manifest_changes_in_whole_seconds(spark, tmp_path):
+    from tesserakit.plans import store_queries as Q
+
+    times_by_the_nanosecond(spark, tmp_path)
+    assert {r["path"]: r["change"] for r in Q.manifest_changes(spark, str(tmp_path)).collect()} == {"before": "modified", "after": "modified", "untimed": "modified"}
