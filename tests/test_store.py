@@ -111,3 +111,13 @@ def test_manifest_changes_in_whole_seconds(spark, tmp_path):
 
     times_by_the_nanosecond(spark, tmp_path)
     assert {r["path"]: r["change"] for r in Q.manifest_changes(spark, str(tmp_path)).collect()} == {"before": "modified", "after": "modified", "untimed": "modified"}
+
+
+def test_change_counts_in_whole_seconds(spark, tmp_path):
+    from tesserakit.plans import store_queries as Q
+
+    at = {"file_modified_at": "2024-01-01T00:00:00+00:00"}
+    table(spark, [("same", at), ("last", at), ("new", at)], "source_path string, metadata map<string,string>").write.parquet(str(tmp_path / "documents_parsed.parquet"))
+    known = [(p, 1_704_067_200_000_000_000 + n, "h", 1, "") for p, n in (("same", 0), ("last", 999_999_999), ("gone", 0))]
+    table(spark, known, store.MANIFEST).write.parquet(str(tmp_path / "manifest.parquet"))
+    assert {r["change"]: r["files"] for r in Q.change_counts(spark, str(tmp_path)).collect()} == {"new": 1, "removed": 1}
